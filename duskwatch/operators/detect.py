@@ -45,23 +45,34 @@ def parsed_lines(lines: DataFrame, config: DetectConfig, line: str = "line") ->
     )
 
 
-def detect(lines: DataFrame, pack: CompiledPack, config: DetectConfig | None = None, line: str = "line") -> DataFrame:
+def detect(
+    lines: DataFrame,
+    pack: CompiledPack,
+    config: DetectConfig | None = None,
+    line: str = "line",
+    keep_benign: bool = False,
+) -> DataFrame:
     """Alerts for ``lines`` (columns line_id, line, ingest_ts and any others, which are kept).
 
     Each line gives at most one alert. A failed login that reaches the threshold
     is a brute-force alert, whatever rules it matches; all other lines report
     their best rule. Only failed logins go through the window count and its
-    shuffle, everything else is decided where it is read.
+    shuffle, everything else is decided where it is read. ``keep_benign`` keeps
+    lines without an alert, with null alert fields.
     """
     config = config or DetectConfig()
     parsed = parsed_lines(lines, config, line)
-    counts = F.col("_failed") & ~F.col("_allowed")
-    counted = count_failures(parsed.where(counts), config)
-    return brute_or_rule_alerts(counted, pack, config).unionByName(
-        rule_alerts(parsed.where(~counts), pack)
+    counted = count_failures(parsed.where(is_counted()), config)
+    return brute_or_rule_alerts(counted, pack, config, keep_benign).unionByName(
+        rule_alerts(parsed.where(~is_counted()), pack, keep_benign)
     )
 
 
+def is_counted() -> Column:
+    """True for the parsed lines that the brute-force counter takes in."""
+    return F.col("_failed") & ~F.col("_allowed")
+
+
 def count_failures(failures: DataFrame, config: DetectConfig) -> DataFrame:
     """Failed logins with the number of ``attempts`` up to each of them."""
     if config.time_mode == "arrival":
@@ -71,18 +82,20 @@ def count_failures(failures: DataFrame, config: DetectConfig) -> DataFrame:
     )
 
 
-def brute_or_rule_alerts(counted: DataFrame, pack: CompiledPack, config: DetectConfig) -> DataFrame:
+def brute_or_rule_alerts(
+    counted: DataFrame, pack: CompiledPack, config: DetectConfig, keep_benign: bool = False
+) -> DataFrame:
     """Brute-force alerts for counted failures at the threshold, rule alerts for the others."""
     reached = F.col("attempts") >= config.max_failed_logins
     brute = brute_force_alerts(counted.where(reached), config)
-    return brute.unionByName(rule_alerts(counted.where(~reached).drop("attempts"), pack))
+    return brute.unionByName(rule_alerts(counted.where(~reached).drop("attempts"), pack, keep_benign))
 
 
 def brute_force_alerts(counted: DataFrame, config: DetectConfig) -> DataFrame:
     """Alert row for each counted failure."""
     described = bruteforce.description(F.col("attempts"), F.col("source_ip"), config.failed_login_window)
     return _with_alert(
-        counted.drop("attempts"),
+        counted,
         {
             "event_type": F.lit(bruteforce.EVENT_TYPE),
             "description": described,
@@ -94,20 +107,22 @@ def brute_force_alerts(counted: DataFrame, config: DetectConfig) -> DataFrame:
             "mitre_tactics": F.array(*map(F.lit, bruteforce.TACTICS)),
             "mitre_techniques": F.array(*map(F.lit, bruteforce.TECHNIQUES)),
         },
-    )
+    ).drop("attempts")
 
 
-def rule_alerts(parsed: DataFrame, pack: CompiledPack) -> DataFrame:
+def rule_alerts(parsed: DataFrame, pack: CompiledPack, keep_benign: bool = False) -> DataFrame:
     """Alert row for each line with a matching rule, unless its source is allowed."""
-    # lines of allowed sources are dropped before the costly matching; a line
+    # lines of allowed sources are set aside before the costly matching; a line
     # without an address is never held back by the list
-    open_lines = parsed.where(~F.col("_allowed") | (F.col("source_ip") == text.UNKNOWN))
-    best = rules.match_best(open_lines, pack, "raw_log")
-    found = best.drop("rule_idx", "rule_id", "rule_title")
+    is_open = ~F.col("_allowed") | (F.col("source_ip") == text.UNKNOWN)
+    if keep_benign:
+        matchable = parsed.withColumn("_text", F.when(is_open, F.col("raw_log")).otherwise(F.lit("")))
+    else:
+        matchable = parsed.where(is_open).withColumn("_text", F.col("raw_log"))
+    best = rules.match_best(matchable, pack, "_text", keep_benign)
     return _with_alert(
-        best,
-        {"sigma_rule_id": F.col("rule_id"), "sigma_rule_title": F.col("rule_title")},
-    ).select(*(c for c in found.columns if c not in ("_failed", "_allowed")), "sigma_rule_id", "sigma_rule_title", "timestamp", "abuse_confidence_score")
+        best.withColumnsRenamed({"rule_id": "sigma_rule_id", "rule_title": "sigma_rule_title"}), {}
+    ).drop("rule_idx", "_text")
 
 
 def _with_alert(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

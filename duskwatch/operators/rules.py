@@ -287,7 +287,6 @@ def match_best(df: DataFrame, pack: CompiledPack, line: str = "line", keep_unmat
 def catalogue(rules: DataFrame) -> DataFrame:
     """Metadata of the loaded rules, with the level shown for their severity."""
     return rules.where("status = 'loaded'").select(
-        "load_idx",
         F.col("rule_id").alias("id"),
         "title",
         "description",

@@ -46,15 +46,15 @@ def running_sum(
         F.max("_key").alias("_last"),
         F.max_by("_total", "_key").alias("_last_total"),
     )
-    # one row per range asks for the key it starts with, one hands on the key it ends with
-    asks = edges.select(F.col("_first").alias("_key"), "_range", F.lit(0).alias("_step"), F.lit(0).cast("bigint").alias("_sum"))
-    gives = edges.select(F.col("_last").alias("_key"), "_range", F.lit(1).alias("_step"), F.col("_last_total").alias("_sum"))
-    before = Window.partitionBy("_key").orderBy("_range", "_step").rowsBetween(Window.unboundedPreceding, 0)
+    # each range asks for the key it starts with and hands on the key it ends with
+    ask = F.struct(F.col("_first").alias("_k"), F.lit(0).alias("_step"), F.lit(0).cast("bigint").alias("_sum"))
+    give = F.struct(F.col("_last").alias("_k"), F.lit(1).alias("_step"), F.col("_last_total").alias("_sum"))
+    steps = edges.select(F.col("_range").alias("_r"), F.inline(F.array(ask, give)))
+    before = Window.partitionBy("_k").orderBy("_r", "_step").rowsBetween(Window.unboundedPreceding, 0)
     carried = (
-        asks.unionByName(gives)
-        .withColumn("_carry", F.sum("_sum").over(before))
+        steps.withColumn("_carry", F.sum("_sum").over(before))
         .where("_step = 0 AND _carry <> 0")
-        .select(F.col("_range").alias("_r"), F.col("_key").alias("_k"), "_carry")
+        .select("_r", "_k", "_carry")
     )
     # at most one row per shuffle partition
     joined = summed.join(

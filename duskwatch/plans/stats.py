@@ -5,6 +5,8 @@ Rankings break ties by name, so that a limit always keeps the same rows.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,10 +163,14 @@ AD_HOC = {
         "SELECT event_type, count(*) AS count FROM {alerts} "
         "GROUP BY event_type ORDER BY count DESC, event_type"
     ),
-    "last_hour_rows": "SELECT * FROM {alerts} WHERE timestamp > {asof} - INTERVAL 1 HOUR",
+    "last_hour_rows": "SELECT * FROM {alerts} WHERE timestamp > :asof - INTERVAL 1 HOUR",
 }
 
 
-def ad_hoc(alerts: DataFrame, name: str, asof: Column | None = None) -> DataFrame:
+def ad_hoc(alerts: DataFrame, name: str, asof: datetime | None = None) -> DataFrame:
     """One of the documented queries in SQL over the alerts."""
-    return alerts.sparkSession.sql(AD_HOC[name], alerts=alerts, asof=_now(asof))
+    text = AD_HOC[name]
+    if asof is None:
+        text = text.replace(":asof", "current_timestamp()")
+    args = {"asof": asof} if ":asof" in text else None
+    return alerts.sparkSession.sql(text, args=args, alerts=alerts)

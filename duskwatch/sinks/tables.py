@@ -40,19 +40,23 @@ def alert_rows(alerts: DataFrame, created_at: Column | None = None, identity: li
     )
 
 
-def live_rows(lines: DataFrame, alerts: DataFrame, identity: list[str], created_at: Column | None = None) -> DataFrame:
-    """One live-feed row per line; alert fields stay null for benign lines."""
+def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None = None) -> DataFrame:
+    """One live-feed row per line of ``detect(..., keep_benign=True)``.
+
+    Alert fields, the source address among them, stay null for benign lines.
+    """
     created = F.current_timestamp() if created_at is None else created_at
-    fields = ["severity", "event_type", "description", "source_ip"]
-    found = alerts.select(*identity, *fields, F.lit(True).alias("_hit"))
-    joined = lines.select(*identity, "source", "line", "ingest_ts").join(found, identity, "left")
-    return joined.select(
+    is_alert = F.col("event_type").isNotNull()
+    return settled.select(
         F.xxhash64(*identity).alias("id"),
         F.col("ingest_ts").alias("timestamp"),
         "source",
         text.cap_message(F.col("line")).alias("message"),
-        F.coalesce("_hit", F.lit(False)).alias("is_alert"),
-        *fields,
+        is_alert.alias("is_alert"),
+        "severity",
+        "event_type",
+        "description",
+        F.when(is_alert, F.col("source_ip")).alias("source_ip"),
         created.alias("created_at"),
     )
 
@@ -68,12 +72,7 @@ def append(rows: DataFrame, path: str, batch: int | str = 0, cluster_by: tuple[s
     dated = dated.hint("rebalance", "dt")
     if cluster_by:
         dated = dated.sortWithinPartitions("dt", *cluster_by)
-    (
-        dated.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt", "batch")
-        .parquet(path)
-    )
+    _overwrite_partitions(dated, path)
 
 
 def append_alerts(rows: DataFrame, path: str, batch: int | str = 0) -> None:
@@ -101,19 +100,34 @@ def delete_old_alerts(spark: SparkSession, path: str, days: int, asof: Column |
     """
     table = spark.read.parquet(path)
     cutoff = queries.cutoff(days, asof)
-    facts = table.where(F.col("dt") <= F.to_date(cutoff)).groupBy("dt").agg(
-        F.count_if(F.col("created_at") < cutoff).alias("gone"),
-        F.count_if(F.col("created_at") >= cutoff).alias("kept"),
+    last_day = F.to_date(cutoff)
+    # one row per stored day, and one per batch of the day of the cutoff
+    gone_days = table.where(F.col("dt") < last_day).groupBy("dt").agg(F.count(F.lit(1)).alias("gone")).collect()
+    batches = (
+        table.where(F.col("dt") == last_day)
+        .groupBy("dt", "batch")
+        .agg(F.count_if(F.col("created_at") < cutoff).alias("gone"), F.count(F.lit(1)).alias("stored"))
+        .where("gone > 0")
+        .collect()
     )
-    # one row per stored day up to the cutoff
-    days_found = facts.collect()
-    for day in (d for d in days_found if d.gone and d.kept):
-        rest = stage(table.where((F.col("dt") == F.lit(day.dt)) & (F.col("created_at") >= cutoff)), "retention")
-        _delete(spark, f"{path}/dt={day.dt}")
-        rest.write.mode("append").partitionBy("dt", "batch").parquet(path)
-    for day in (d for d in days_found if d.gone and not d.kept):
+    cut = [b.batch for b in batches if b.gone < b.stored]
+    if cut:
+        rest = table.where((F.col("dt") == last_day) & F.col("batch").isin(cut) & (F.col("created_at") >= cutoff))
+        _overwrite_partitions(stage(rest, "retention"), path)
+    for b in (b for b in batches if b.gone == b.stored):
+        _delete(spark, f"{path}/dt={b.dt}/batch={b.batch}")
+    for day in gone_days:
         _delete(spark, f"{path}/dt={day.dt}")
-    return sum(d.gone for d in days_found)
+    return sum(r.gone for r in [*gone_days, *batches])
+
+
+def _overwrite_partitions(rows: DataFrame, path: str) -> None:
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dt", "batch")
+        .parquet(path)
+    )
 
 
 def prune_live_logs(spark: SparkSession, path: str, keep: int = 500) -> None:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
 import yaml
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duskwatch import schemas
@@ -82,6 +83,7 @@ def parse_rule(path: str, content: bytes) -> dict:
         return {**row, "status": "error", "reason": f"{type(exc).__name__}: {exc}"[:500]}
 
 
+_FILES = "root_idx int, root string, path string, content binary"
 _COLUMNS = (
     "root_idx root path status reason rule_id title description level tags false_positives "
     "condition groups"
@@ -91,42 +93,44 @@ _COLUMNS = (
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for files in batches:
         rows = [
-            {"root_idx": f.root_idx, "root": f.root, **parse_rule(f.path, f.content)}
+            {**dict.fromkeys(_COLUMNS), "root_idx": f.root_idx, "root": f.root, **parse_rule(f.path, f.content)}
             for f in files.itertuples(index=False)
         ]
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-
-def _plain_path(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
+        yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
 
 def scan_rules(spark: SparkSession, paths: list[str] | None = None, extended_tactics: bool = False) -> DataFrame:
     """One row per rule file below ``paths``, in load order (``load_idx``).
 
     A path is a directory, searched at any depth for ``*.yml`` and ``*.yaml``, or
-    one file. Paths that do not exist contribute nothing. Files that cannot be
-    read as rules stay in the result with their ``status`` and ``reason``.
+    one file; without paths the rules shipped with the package are read. Paths
+    that do not exist contribute nothing. Files that cannot be read as rules stay
+    in the result with their ``status`` and ``reason``.
     """
-    files = None
-    for position, root in enumerate(paths or []):
-        part = _rule_files(spark, str(root))
-        if part is not None:
-            part = part.withColumn("root_idx", F.lit(position)).withColumn("root", F.lit(str(root)))
-            files = part if files is None else files.unionByName(part)
-    if paths is None:
-        files = _builtin_files(spark)
-    if files is None:
-        files = spark.createDataFrame([], "path string, content binary, root string, root_idx int")
+    found = [_builtin_files(spark)] if paths is None else [_rule_files(spark, str(p), i) for i, p in enumerate(paths)]
+    files = reduce(DataFrame.unionByName, (f for f in found if f is not None), spark.createDataFrame([], _FILES))
+    return in_load_order(parse_rule_files(files, extended_tactics))
+
+
+def rules_from_text(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """Rules given as YAML text by name."""
+    rows = [(0, "", name, bytearray(text.encode())) for name, text in texts.items()]
+    return in_load_order(parse_rule_files(spark.createDataFrame(rows, _FILES)))
 
+
+def in_load_order(rules: DataFrame) -> DataFrame:
+    """Number the rules of a pack by path; a pack has thousands of rules at the most."""
+    order = Window.orderBy("root_idx", F.split("path", "/"))
+    return rules.withColumn("load_idx", F.row_number().over(order) - 1)
+
+
+def parse_rule_files(files: DataFrame, extended_tactics: bool = False) -> DataFrame:
+    """Rules from any table of files (root_idx, root, path, content)."""
     parsed = files.select("root_idx", "root", "path", "content").mapInPandas(_parse_batches, schemas.RULES)
-    # a rule pack is configuration, thousands of small files at the very most
-    in_load_order = Window.orderBy("root_idx", F.split("path", "/"))
-    loaded = parsed.withColumn("load_idx", F.row_number().over(in_load_order) - 1)
     severity = metadata.severity_of_level(F.col("level"))
     is_rule = F.col("status") == "loaded"
-    return loaded.select(
-        "load_idx",
+    return parsed.select(
+        "root_idx",
         "root",
         "path",
         "status",
@@ -147,7 +151,7 @@ def scan_rules(spark: SparkSession, paths: list[str] | None = None, extended_tac
     )
 
 
-def _rule_files(spark: SparkSession, root: str) -> DataFrame | None:
+def _rule_files(spark: SparkSession, root: str, position: int) -> DataFrame | None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop_path):
@@ -155,16 +159,19 @@ def _rule_files(spark: SparkSession, root: str) -> DataFrame | None:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if fs.getFileStatus(hadoop_path).isDirectory():
         reader = reader.option("pathGlobFilter", "*.{yml,yaml}")
-    return reader.load(root).select(_plain_path(F.col("path")).alias("path"), "content")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    return reader.load(root).select(
+        F.lit(position).alias("root_idx"), F.lit(root).alias("root"), plain.alias("path"), "content"
+    )
 
 
 def _builtin_files(spark: SparkSession) -> DataFrame:
     # read beside the package, which executors of a cluster may not see as a path
     rows = [
-        (str(p), bytearray(p.read_bytes()), str(BUILTIN_RULES), 0)
+        (0, str(BUILTIN_RULES), str(p), bytearray(p.read_bytes()))
         for p in sorted(BUILTIN_RULES.glob("**/*.yml"))
     ]
-    return spark.createDataFrame(rows, "path string, content binary, root string, root_idx int")
+    return spark.createDataFrame(rows, _FILES)
 
 
 # the parsing functions travel with the task instead of needing the package there
