@@ -134,7 +134,7 @@ def builtin_pack(spark: SparkSession) -> rules.CompiledPack:
 
 def detected(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
     """Alerts of the event lines."""
-    lines = event_log(spread(table(spark, sf_dir, "events")))
+    lines = spread(event_log(table(spark, sf_dir, "events")))
     return detect(lines, builtin_pack(spark), event_config(**changes))
 
 
@@ -581,7 +581,7 @@ def technique_breakdown(spark, sf_dir):
 
 @query
 def file_summary(spark, sf_dir):
-    lines = event_log(spread(table(spark, sf_dir, "events")))
+    lines = spread(event_log(table(spark, sf_dir, "events")))
     return report.analyze_file(lines, builtin_pack(spark), event_config(time_mode="arrival")).summary
 
 
@@ -604,7 +604,7 @@ def live_feed_prune(spark, sf_dir):
 
 @query
 def live_feed(spark, sf_dir):
-    lines = event_log(spread(table(spark, sf_dir, "events")))
+    lines = spread(event_log(table(spark, sf_dir, "events")))
     settled = detect(lines, builtin_pack(spark), event_config(), keep_benign=True)
     rows = tables.live_rows(settled, ["line_id"], F.col("ingest_ts"))
     shown = display.feed_text(F.col("is_alert"), F.col("description"), F.col("message"))
@@ -780,8 +780,8 @@ def stream_brute_force(spark, sf_dir):
 
     def count(batch, batch_id):
         rows = batch.where("event_type = 'error'").select("event_id", user_ip().alias("source_ip"), F.col("ts").cast("timestamp").alias("event_ts"))
-        newest = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-        ready, _ = counter.process(rows, newest, batch_id)
+        newest_ts = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+        ready, _ = counter.process(stage(rows, "failures"), newest_ts, batch_id)
         ready.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     run = event_stream(spark, sf_dir).writeStream.foreachBatch(count).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

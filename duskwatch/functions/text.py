@@ -19,10 +19,13 @@ FAILED_LOGIN = (
     r"Failed password|Invalid user|Authentication failure|sshd.*Failed|"
     r"denied by pam|failed.*ssh|Too many authentication failures"
 )
-# The characters that end a line besides CR and LF, and the
-# white space that stripping removes in addition to Unicode white space.
+# The characters that end a line besides CR and LF, and those that
+# stripping removes.
 EXTRA_LINE_ENDS = r"\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
-EXTRA_SPACE = r"\x1c-\x1f"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 _REPLACEMENT, _STAND_IN = "\ufffd", "\ufdd0"
 
@@ -43,9 +46,7 @@ def split_lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space, Unicode kinds included, from both ends."""
-    space = rf"[\s{EXTRA_SPACE}]"
-    # possessive runs: a long inner run of blanks must not be rescanned per blank
-    return F.regexp_replace(text, rf"(?U)^{space}++|(?<!{space}){space}++$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def source_ip(line: Column) -> Column:

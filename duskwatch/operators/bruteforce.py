@@ -25,6 +25,7 @@ def window_counts(
     seq: list[str] | str = "line_id",
     window_seconds: float = WINDOW_SECONDS,
     out: str = "attempts",
+    staged: bool = False,
 ) -> DataFrame:
     """Add the number of failures of the same key in the window ending at each row.
 
@@ -32,24 +33,21 @@ def window_counts(
     longer counts. Rows of equal time count in the order of ``seq``.
 
     Every failure enters the window once and leaves it once, so the count is a
-    running total of entries minus exits, which splits hot keys.
+    running total of entries minus exits, which splits hot keys. ``staged`` tells
+    that ``failures`` is read from a stored table.
     """
     seq = [seq] if isinstance(seq, str) else list(seq)
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    entering = failures.withColumn("_at", micros).withColumn("_step", F.lit(1))
+    exit_at = micros + int(window_seconds * 1_000_000)
+    # exits come first among rows of one time: the window excludes its start
+    enter = F.struct(micros.alias("_at"), F.lit(1).alias("_step"))
+    leave = F.struct(exit_at.alias("_at"), F.lit(0).alias("_step"))
+    steps = failures.select("*", F.inline_outer(F.array(enter, leave)))
+    # only what orders an exit travels with it
     payload = [c for c in failures.columns if c not in {key, *seq}]
-    leaving = failures.select(
-        key,
-        *seq,
-        *(F.lit(None).cast(failures.schema[c].dataType).alias(c) for c in payload),
-        (micros + int(window_seconds * 1_000_000)).alias("_at"),
-        # exits come first among rows of one time: the window excludes its start
-        F.lit(0).alias("_step"),
-    )
+    steps = steps.withColumns({c: F.when(F.col("_step") == 1, F.col(c)) for c in payload})
     change = F.when(F.col("_step") == 1, 1).otherwise(-1)
-    counted = running_sum(
-        entering.unionByName(leaving), [key], ["_at", "_step", *seq], change, out
-    )
+    counted = running_sum(steps, [key], ["_at", "_step", *seq], change, out, staged)
     return counted.where("_step = 1").drop("_at", "_step")
 
 

@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from duskwatch.functions import text
 from duskwatch.operators import bruteforce, rules
 from duskwatch.operators.allowlist import is_allowed
-from duskwatch.operators.parse import parse_events
 from duskwatch.operators.rules import CompiledPack
 
-_NO_STRINGS = "array<string>"
-
-
 @dataclass
 class DetectConfig:
     """Thresholds and allow list of a detection run."""
@@ -32,17 +28,19 @@ class DetectConfig:
 
 
 def parsed_lines(lines: DataFrame, config: DetectConfig, line: str = "line") -> DataFrame:
-    """Lines with event fields, failed-login and allow-list flags; blank lines vanish."""
+    """Lines with address, event time, failed-login and allow-list flags; blank lines vanish."""
     present = lines.where(F.length(text.strip(F.col(line))) > 0)
-    events = parse_events(present, line)
-    if "raw_log" not in events.columns:
-        events = events.withColumn("raw_log", F.col(line))
-    return events.withColumns(
-        {
-            "_failed": text.is_failed_login(F.col("raw_log")),
-            "_allowed": is_allowed(F.col("source_ip"), config.allowed, config.allow_mode),
-        }
+    if "raw_log" not in present.columns:
+        present = present.withColumn("raw_log", F.col(line))
+    fields = F.struct(
+        text.source_ip(F.col(line)).alias("source_ip"),
+        text.event_time(F.col(line), F.col("ingest_ts")).alias("event_ts"),
+        text.is_failed_login(F.col("raw_log")).alias("_failed"),
     )
+    # as output of a generator the fields are computed once per line; filters on
+    # plain columns would be pushed below and search the line once more
+    parsed = present.select("*", F.inline_outer(F.array(fields)))
+    return parsed.withColumn("_allowed", is_allowed(F.col("source_ip"), config.allowed, config.allow_mode))
 
 
 def detect(
@@ -63,9 +61,7 @@ def detect(
     config = config or DetectConfig()
     parsed = parsed_lines(lines, config, line)
     counted = count_failures(parsed.where(is_counted()), config)
-    return brute_or_rule_alerts(counted, pack, config, keep_benign).unionByName(
-        rule_alerts(parsed.where(~is_counted()), pack, keep_benign)
-    )
+    return decide(counted.unionByName(uncounted(parsed.where(~is_counted()))), pack, config, keep_benign)
 
 
 def is_counted() -> Column:
@@ -82,53 +78,44 @@ def count_failures(failures: DataFrame, config: DetectConfig) -> DataFrame:
     )
 
 
-def brute_or_rule_alerts(
+def uncounted(parsed: DataFrame) -> DataFrame:
+    """Lines that the counter does not take in, with null ``attempts``."""
+    return parsed.withColumn("attempts", F.lit(None).cast("bigint"))
+
+
+def decide(
     counted: DataFrame, pack: CompiledPack, config: DetectConfig, keep_benign: bool = False
 ) -> DataFrame:
-    """Brute-force alerts for counted failures at the threshold, rule alerts for the others."""
-    reached = F.col("attempts") >= config.max_failed_logins
-    brute = brute_force_alerts(counted.where(reached), config)
-    return brute.unionByName(rule_alerts(counted.where(~reached).drop("attempts"), pack, keep_benign))
-
-
-def brute_force_alerts(counted: DataFrame, config: DetectConfig) -> DataFrame:
-    """Alert row for each counted failure."""
-    described = bruteforce.description(F.col("attempts"), F.col("source_ip"), config.failed_login_window)
-    return _with_alert(
-        counted,
-        {
-            "event_type": F.lit(bruteforce.EVENT_TYPE),
-            "description": described,
-            "severity": F.lit(bruteforce.SEVERITY),
-            "sigma_rule_id": F.lit(""),
-            "sigma_rule_title": F.lit(bruteforce.TITLE),
-            "matched_keywords": F.array().cast(_NO_STRINGS),
-            "false_positives": F.array().cast(_NO_STRINGS),
-            "mitre_tactics": F.array(*map(F.lit, bruteforce.TACTICS)),
-            "mitre_techniques": F.array(*map(F.lit, bruteforce.TECHNIQUES)),
-        },
-    ).drop("attempts")
-
-
-def rule_alerts(parsed: DataFrame, pack: CompiledPack, keep_benign: bool = False) -> DataFrame:
-    """Alert row for each line with a matching rule, unless its source is allowed."""
-    # lines of allowed sources are set aside before the costly matching; a line
-    # without an address is never held back by the list
+    """Alert of each parsed line: brute force at the threshold, else its best rule.
+
+    Only lines that need the rules are matched: brute force takes precedence, and
+    lines of allowed sources report nothing, unless their address is unknown.
+    """
+    brute = F.coalesce(F.col("attempts") >= config.max_failed_logins, F.lit(False))
     is_open = ~F.col("_allowed") | (F.col("source_ip") == text.UNKNOWN)
-    if keep_benign:
-        matchable = parsed.withColumn("_text", F.when(is_open, F.col("raw_log")).otherwise(F.lit("")))
-    else:
-        matchable = parsed.where(is_open).withColumn("_text", F.col("raw_log"))
-    best = rules.match_best(matchable, pack, "_text", keep_benign)
-    return _with_alert(
-        best.withColumnsRenamed({"rule_id": "sigma_rule_id", "rule_title": "sigma_rule_title"}), {}
-    ).drop("rule_idx", "_text")
-
-
-def _with_alert(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns(
-        {**columns, "timestamp": F.col("event_ts"), "abuse_confidence_score": F.lit(0)}
-    ).drop("_failed", "_allowed")
+    matchable = counted.withColumn("_text", F.when(is_open & ~brute, F.col("raw_log")).otherwise(F.lit("")))
+    best = rules.match_best(matchable, pack, "_text", keep_unmatched=True)
+    window = config.failed_login_window
+    of_brute = {
+        "event_type": F.lit(bruteforce.EVENT_TYPE),
+        "description": bruteforce.description(F.col("attempts"), F.col("source_ip"), window),
+        "severity": F.lit(bruteforce.SEVERITY),
+        "rule_id": F.lit(""),
+        "rule_title": F.lit(bruteforce.TITLE),
+        "matched_keywords": F.array().cast("array<string>"),
+        "false_positives": F.array().cast("array<string>"),
+        "mitre_tactics": F.array(*map(F.lit, bruteforce.TACTICS)),
+        "mitre_techniques": F.array(*map(F.lit, bruteforce.TECHNIQUES)),
+    }
+    renamed = {"rule_id": "sigma_rule_id", "rule_title": "sigma_rule_title"}
+    kept = [c for c in counted.columns if c not in ("attempts", "_failed", "_allowed")]
+    alerts = best.select(
+        *kept,
+        *(F.when(brute, value).otherwise(F.col(c)).alias(renamed.get(c, c)) for c, value in of_brute.items()),
+        F.col("event_ts").alias("timestamp"),
+        F.lit(0).alias("abuse_confidence_score"),
+    )
+    return alerts if keep_benign else alerts.where(F.col("event_type").isNotNull())
 
 
 def with_reputation(alerts: DataFrame, reputation: DataFrame, ip: str = "source_ip") -> DataFrame:

@@ -13,7 +13,8 @@ def explode_lines(df: DataFrame, column: str, keep: list[str], line_no: str = "l
 
     Each text is cut where it lies, so nothing is shuffled.
     """
-    pieces = df.select(*keep, F.posexplode(text.split_lines(F.col(column))).alias(line_no, "_raw"))
+    # outer, as an inner explode makes Spark split a second time to find empty texts
+    pieces = df.select(*keep, F.posexplode_outer(text.split_lines(F.col(column))).alias(line_no, "_raw"))
     stripped = pieces.select(*keep, (F.col(line_no) + 1).cast("bigint").alias(line_no), text.strip(F.col("_raw")).alias("line"))
     return stripped.where(F.length("line") > 0)
 

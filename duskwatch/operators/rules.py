@@ -123,8 +123,8 @@ def _add_term(pack: CompiledPack, keys: dict[str, dict], term: dict, compiles) -
     text = term["text"]
     pack.texts.append(text)
     folded = termscan.fold_term(text)
-    if term["is_regex"] and compiles("(?iudU)" + text):
-        pack.regexes[number] = "(?iudU)" + text
+    if term["is_regex"] and compiles(termscan.search_pattern(text)):
+        pack.regexes[number] = termscan.search_pattern(text)
         factors = termscan.required_factors(text)
         for factor in factors or []:
             keys.setdefault(factor, {"lit": [], "rx": []})["rx"].append(number)
@@ -271,17 +271,20 @@ def _flat(df: DataFrame, match: str, pack: CompiledPack) -> DataFrame:
 def match_all(df: DataFrame, pack: CompiledPack, line: str = "line") -> DataFrame:
     """One row per line and matching rule. Lines without a match vanish."""
     matched = with_matches(df, pack, line, "_matches")
-    return _flat(matched.withColumn("_match", F.explode("_matches")).drop("_matches"), "_match", pack)
+    return _flat(_exploded(matched, F.col("_matches")), "_match", pack)
 
 
 def match_best(df: DataFrame, pack: CompiledPack, line: str = "line", keep_unmatched: bool = False) -> DataFrame:
     """One row per line with its best rule; others vanish or keep null rule fields."""
     matched = with_matches(df, pack, line, "_matches")
-    # exploding one-element arrays drops unmatched lines without a filter that
-    # the optimizer would push below, and thereby repeat, the matching
-    best = F.filter(F.array(best_of(F.col("_matches"))), lambda m: m.isNotNull())
-    explode = F.explode_outer if keep_unmatched else F.explode
-    return _flat(matched.withColumn("_match", explode(best)).drop("_matches"), "_match", pack)
+    return _flat(_exploded(matched, F.array(best_of(F.col("_matches"))), keep_unmatched), "_match", pack)
+
+
+def _exploded(matched: DataFrame, matches: Column, keep_unmatched: bool = False) -> DataFrame:
+    # an inner explode, or a filter on a column, would be turned into a filter
+    # below the matching that does all of it once more
+    rows = matched.withColumn("_match", F.explode_outer(matches)).drop("_matches")
+    return rows if keep_unmatched else rows.where(F.col("_match").isNotNull())
 
 
 def catalogue(rules: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 # leaves them apart.
 _FOLD_FROM, _FOLD_TO = "İıſ", "iis"
 _FANOUT = 8
+# what gives a piece of a pattern a meaning beyond its characters
+_ESCAPED = re.compile(r"\\([^\w\s])")
+_SPECIAL = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
 def fold(text: Column) -> Column:
@@ -107,3 +110,23 @@ def _factors(items) -> list[str] | None:
             consider(_factors(arg[2]))
     consider([run] if run else None)
     return best
+
+
+def search_pattern(pattern: str) -> str:
+    """A Java pattern that finds something exactly where ``pattern`` would.
+
+    Terms made of literals with ``.*`` between them, the usual kind, are written
+    so that each line of text is read once: every literal is taken at its first
+    place after the one before, and nothing is tried again.
+    """
+    options = [[_literal(piece) for piece in option.split(".*") if piece] for option in pattern.split("|")]
+    if all(options) and all(None not in option for option in options):
+        chains = ("".join(f"(?>.*?{''.join(map(_quote, piece))})" for piece in option) for option in options)
+        return "(?iudm)^(?:" + "|".join(chains) + ")"
+    return "(?iudU)" + pattern
+
+
+def _literal(piece: str) -> str | None:
+    """The characters a piece of a pattern stands for; None when it is more than that."""
+    plain = _ESCAPED.sub("", piece)
+    return None if _SPECIAL.search(plain) else _ESCAPED.sub(r"\1", piece)

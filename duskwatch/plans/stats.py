@@ -133,7 +133,7 @@ def type_facets(alerts: DataFrame) -> DataFrame:
 
 def tactic_facets(alerts: DataFrame) -> DataFrame:
     """Tactics that occur, sorted."""
-    return _facet(alerts.select(F.explode("mitre_tactics").alias("value")))
+    return _facet(alerts.select(F.explode_outer("mitre_tactics").alias("value")))
 
 
 def _facet(values: DataFrame) -> DataFrame:
@@ -142,12 +142,17 @@ def _facet(values: DataFrame) -> DataFrame:
 
 def by_tactic(alerts: DataFrame) -> DataFrame:
     """Alerts per tactic; an alert counts for each of its tactics."""
-    return _ranked(alerts.select(F.explode("mitre_tactics").alias("tactic")), "tactic")
+    return _ranked(_elements(alerts, "mitre_tactics", "tactic"), "tactic")
 
 
 def by_technique(alerts: DataFrame) -> DataFrame:
     """Alerts per technique; an alert counts for each of its techniques."""
-    return _ranked(alerts.select(F.explode("mitre_techniques").alias("technique")), "technique")
+    return _ranked(_elements(alerts, "mitre_techniques", "technique"), "technique")
+
+
+def _elements(alerts: DataFrame, column: str, name: str) -> DataFrame:
+    # outer, as an inner explode computes the list a second time for a filter
+    return alerts.select(F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
 
 
 AD_HOC = {

@@ -30,7 +30,8 @@ def parse_batches(payloads: DataFrame, column: str = "value") -> DataFrame:
 def explode_logs(batches: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per log entry, numbered within its batch. Empty batches give no row."""
     others = keep if keep is not None else [c for c in batches.columns if c not in ("logs", "hostname", "timestamp")]
-    return batches.select(*others, F.posexplode("logs").alias("log_no", "_log")).select(
+    entries = batches.select(*others, F.posexplode_outer("logs").alias("log_no", "_log"))
+    return entries.where("log_no IS NOT NULL").select(
         *others,
         F.col("log_no").cast("bigint").alias("log_no"),
         F.col("_log.timestamp").alias("timestamp"),

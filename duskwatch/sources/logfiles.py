@@ -18,7 +18,7 @@ def _lines(raw: DataFrame, source: Column) -> DataFrame:
     # rarer line boundaries are cut here, row by row
     pieces = raw.select(
         F.col("_metadata.file_path").alias("file"),
-        F.explode(text.split_lines(text.drop_invalid_utf8(F.col("value")))).alias("_raw"),
+        F.explode_outer(text.split_lines(text.drop_invalid_utf8(F.col("value")))).alias("_raw"),
     )
     return pieces.select(
         # ascends with the position in a file, also over its splits
@@ -80,7 +80,7 @@ def _stream_lines(raw: DataFrame, source: Column) -> DataFrame:
     pieces = raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_modification_time").alias("ingest_ts"),
-        F.explode(text.split_lines(text.drop_invalid_utf8(F.col("value")))).alias("_raw"),
+        F.explode_outer(text.split_lines(text.drop_invalid_utf8(F.col("value")))).alias("_raw"),
     )
     return pieces.select(
         source.alias("source"), "file", text.strip(F.col("_raw")).alias("line"), "ingest_ts"
@@ -103,7 +103,7 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, source: str = "k
     pieces = raw.select(
         F.concat_ws("/", "topic", F.col("partition").cast("string")).alias("file"),
         F.col("timestamp").alias("ingest_ts"),
-        F.explode(text.split_lines(text.drop_invalid_utf8(F.col("value").cast("string")))).alias("_raw"),
+        F.explode_outer(text.split_lines(text.drop_invalid_utf8(F.col("value").cast("string")))).alias("_raw"),
     )
     return pieces.select(
         F.lit(source).alias("source"), "file", text.strip(F.col("_raw")).alias("line"), "ingest_ts"

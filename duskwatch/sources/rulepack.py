@@ -108,14 +108,15 @@ def scan_rules(spark: SparkSession, paths: list[str] | None = None, extended_tac
     in the result with their ``status`` and ``reason``.
     """
     found = [_builtin_files(spark)] if paths is None else [_rule_files(spark, str(p), i) for i, p in enumerate(paths)]
-    files = reduce(DataFrame.unionByName, (f for f in found if f is not None), spark.createDataFrame([], _FILES))
+    present = [f for f in found if f is not None] or [spark.createDataFrame([], _FILES)]
+    files = reduce(DataFrame.unionByName, present)
     return in_load_order(parse_rule_files(files, extended_tactics))
 
 
 def rules_from_text(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """Rules given as YAML text by name."""
     rows = [(0, "", name, bytearray(text.encode())) for name, text in texts.items()]
-    return in_load_order(parse_rule_files(spark.createDataFrame(rows, _FILES)))
+    return in_load_order(parse_rule_files(spark.createDataFrame(rows, _FILES).coalesce(1)))
 
 
 def in_load_order(rules: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def _builtin_files(spark: SparkSession) -> DataFrame:
         (0, str(BUILTIN_RULES), str(p), bytearray(p.read_bytes()))
         for p in sorted(BUILTIN_RULES.glob("**/*.yml"))
     ]
-    return spark.createDataFrame(rows, _FILES)
+    return spark.createDataFrame(rows, _FILES).coalesce(1)
 
 
 # the parsing functions travel with the task instead of needing the package there

@@ -3,28 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from duskwatch import schemas
 from duskwatch.operators import bruteforce
-from duskwatch.operators.detect import (
-    DetectConfig,
-    brute_or_rule_alerts,
-    is_counted,
-    parsed_lines,
-    rule_alerts,
-)
+from duskwatch.operators.agents import merge_registry
+from duskwatch.operators.detect import DetectConfig, decide, is_counted, parsed_lines, uncounted
 from duskwatch.operators.parse import tagged
 from duskwatch.operators.rules import CompiledPack
-from duskwatch.session import stage
+from duskwatch.session import spread, stage
 from duskwatch.sinks import outbox, tables
 from duskwatch.streaming.state import BatchState
 
 IDENTITY = ["batch_id", "line_id"]
 _LINE = "source string, file string, line string, ingest_ts timestamp, batch_id bigint, line_id bigint, raw_log string"
-_PARSED = "source_ip string, log_time string, event_ts timestamp, user string, _failed boolean, _allowed boolean"
+_PARSED = "source_ip string, event_ts timestamp, _failed boolean, _allowed boolean"
 
 
 @dataclass
@@ -53,7 +50,8 @@ class FailureCounter:
     def process(self, failures: DataFrame, newest, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """(counted failures that are settled now, failures too late to be counted).
 
-        ``newest`` is the newest event time of the batch, failures or not.
+        ``failures`` is a stored table, ``newest`` the newest event time of the
+        batch, failures or not.
         """
         last = self.clock.before(batch_id).first()
         last = last.watermark if last else None
@@ -66,7 +64,8 @@ class FailureCounter:
         held = before.unionByName(failures.where(~late).withColumn("_settled", F.lit(False)))
         window = self.config.failed_login_window
         settled_now = (at <= F.lit(mark)) if mark is not None else F.lit(False)
-        counted = stage(bruteforce.window_counts(held, seq=self.seq, window_seconds=window), "counted")
+        counts = bruteforce.window_counts(held, seq=self.seq, window_seconds=window, staged=True)
+        counted = stage(counts, "counted")
         ready = counted.where(settled_now & ~F.col("_settled")).drop("_settled")
 
         kept = counted.drop("attempts")
@@ -78,9 +77,7 @@ class FailureCounter:
         return ready, failures.where(late)
 
 
-def _seconds(value: float):
-    from datetime import timedelta
-
+def _seconds(value: float) -> timedelta:
     return timedelta(seconds=value)
 
 
@@ -119,14 +116,11 @@ class LiveDetector:
         numbered = batch.select(*columns).withColumns(
             {"batch_id": F.lit(batch_id).cast("bigint"), "line_id": F.monotonically_increasing_id()}
         )
-        parsed = stage(parsed_lines(tagged(numbered), self.config), "live-lines")
+        parsed = stage(parsed_lines(spread(tagged(numbered)), self.config), "live-lines")
         newest = parsed.agg(F.max("event_ts").alias("t")).first().t
         ready, late = self.counter.process(parsed.where(is_counted()), newest, batch_id)
-        settled = (
-            brute_or_rule_alerts(ready, self.pack, self.config, keep_benign=True)
-            .unionByName(rule_alerts(late, self.pack, keep_benign=True))
-            .unionByName(rule_alerts(parsed.where(~is_counted()), self.pack, keep_benign=True))
-        )
+        others = uncounted(late.unionByName(parsed.where(~is_counted())))
+        settled = decide(ready.unionByName(others), self.pack, self.config, keep_benign=True)
         self._write(stage(settled, "live-settled"), batch_id)
 
     def _write(self, settled: DataFrame, batch_id: int) -> None:
@@ -156,8 +150,6 @@ class RegistryUpdater:
     """Registry of agents, brought up to date by micro-batches of agent events."""
 
     def __init__(self, spark: SparkSession, path: str):
-        from duskwatch import schemas
-
         columns = schemas.AGENTS
         self.state = BatchState(spark, path, columns)
         self.columns = [c.strip().split(" ")[0] for c in columns.split(",")]
@@ -165,8 +157,6 @@ class RegistryUpdater:
 
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Merge a micro-batch of ``registry_events`` rows."""
-        from duskwatch.operators.agents import merge_registry
-
         merged = merge_registry(self.state.before(batch_id), events)
         self.state.replace(merged.select(*self.columns), batch_id)
         self.last_batch = batch_id
