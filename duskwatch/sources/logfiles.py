@@ -70,9 +70,8 @@ def stream_log_files(
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    if since:
-        reader = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
-    return _stream_lines(reader.load(path), F.lit(source))
+    lines = _stream_lines(reader.load(path), F.lit(source))
+    return lines.where(F.col("ingest_ts") >= F.lit(since)) if since else lines
 
 
 def _stream_lines(raw: DataFrame, source: Column) -> DataFrame:
