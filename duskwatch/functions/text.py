@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ FAILED_LOGIN = (
     r"Failed password|Invalid user|Authentication failure|sshd.*Failed|"
     r"denied by pam|failed.*ssh|Too many authentication failures"
 )
+# What FAILED_LOGIN comes to on folded text: plain phrases, and two words in either order.
+_FAILED_PHRASES = ("failed password", "invalid user", "authentication failure", "denied by pam")
+_FAILED_WORDS = ("failed", "ssh")
+
+# Letters that case-insensitive matching treats as i, i and s although lower-casing
+# leaves them apart.
+_FOLD_FROM, _FOLD_TO = "\u0130\u0131\u017f", "iis"
+
 # The characters that end a line besides CR and LF, and those that
 # stripping removes.
 EXTRA_LINE_ENDS = r"\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
@@ -84,9 +94,21 @@ def user(line: Column) -> Column:
     return F.when(found != "", found)
 
 
+def fold(text: Column) -> Column:
+    """Text in which case-insensitive search is a search for lower-case text."""
+    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
+
+
 def is_failed_login(line: Column) -> Column:
-    """True for lines that report a failed login, in any letter case."""
-    return line.rlike("(?iud)" + FAILED_LOGIN)
+    """True for lines that report a failed login, in any letter case.
+
+    Most lines are settled by plain substring tests; the pattern is tried only
+    where both of its words occur.
+    """
+    folded = fold(line)
+    phrase = reduce(lambda a, b: a | b, (folded.contains(p) for p in _FAILED_PHRASES))
+    words = reduce(lambda a, b: a & b, (folded.contains(w) for w in _FAILED_WORDS))
+    return phrase | (words & line.rlike("(?iud)" + FAILED_LOGIN))
 
 
 def tag_source(source: Column, line: Column) -> Column:

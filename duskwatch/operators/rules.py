@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.metadata import SEVERITY_RANK, SEVERITY_TO_LEVEL, lookup
+from duskwatch.functions.text import fold
 from duskwatch.operators import termscan
 
 MATCH = "struct<rule_idx: int, rank: int, matched_keywords: array<string>>"
@@ -170,7 +171,7 @@ def with_matches(df: DataFrame, pack: CompiledPack, line: str = "line", out: str
     found = F.array().cast("array<string>")
     if pack.anchors:
         pattern = termscan.tree_pattern(sorted(pack.anchors))
-        found = F.array_distinct(F.regexp_extract_all(termscan.fold(text), F.lit(pattern), F.lit(1)))
+        found = F.array_distinct(F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(1)))
     staged = df.withColumn("_entries", _entries(found, pack))
     staged = staged.withColumn("_likely", _likely(F.col("_entries")))
     staged = staged.withColumn("_hits", _hits(text, F.col("_entries"), F.col("_likely"), pack))

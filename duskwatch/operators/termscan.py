@@ -12,23 +12,12 @@ from __future__ import annotations
 import re
 from re import _parser as regex_parser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# Letters that case-insensitive matching treats as i, i and s although lower-casing
-# leaves them apart.
-_FOLD_FROM, _FOLD_TO = "İıſ", "iis"
 _FANOUT = 8
 # what gives a piece of a pattern a meaning beyond its characters
 _ESCAPED = re.compile(r"\\([^\w\s])")
 _SPECIAL = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
-def fold(text: Column) -> Column:
-    """Case-folded text in which folded terms are searched."""
-    return F.lower(F.translate(text, _FOLD_FROM, _FOLD_TO))
-
-
 def fold_term(term: str) -> str | None:
     """Folded form of an ASCII term; None for terms that need a real regex match."""
     return term.lower() if term.isascii() else None
