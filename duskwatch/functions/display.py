@@ -12,7 +12,6 @@ EMBED_COLORS = {"INFO": 0x00FF00, "WARNING": 0xFFFF00, "CRITICAL": 0xFF0000}
 EMBED_DEFAULT_COLOR = 0x808080
 EMBED_TITLE_MARK = "\U0001f6a8 "
 EMBED_RAW_CHARS = 256
-EMBED_FOOTER = "Log analyzer HIDS"
 TECHNIQUE_URL = "https://attack.mitre.org/techniques/"
 PLACEHOLDER_WEBHOOK = "YOUR_WEBHOOK_ID"
 
@@ -66,6 +65,7 @@ def notification_payload(
     timestamp: Column,
     raw_log: Column,
     score: Column,
+    footer: str = "duskwatch",
     icon_url: str | None = None,
 ) -> Column:
     """JSON text of one webhook message with an embed for the alert."""
@@ -81,15 +81,15 @@ def notification_payload(
         _field("Raw Log", raw, False),
     ]
     rated = _field("Abuse Confidence Score", F.concat(score.cast("string"), F.lit("/100")), True)
-    footer = [F.lit(EMBED_FOOTER).alias("text")]
+    foot = [F.lit(footer).alias("text")]
     if icon_url:
-        footer.append(F.lit(icon_url).alias("icon_url"))
+        foot.append(F.lit(icon_url).alias("icon_url"))
     embed = F.struct(
         F.concat(F.lit(EMBED_TITLE_MARK), event_type).alias("title"),
         description.alias("description"),
         F.coalesce(lookup(EMBED_COLORS, severity), F.lit(EMBED_DEFAULT_COLOR)).alias("color"),
         F.when(score > 0, F.array(*fields[:3], rated, fields[3])).otherwise(F.array(*fields)).alias("fields"),
-        F.struct(*footer).alias("footer"),
+        F.struct(*foot).alias("footer"),
         iso_time(timestamp).alias("timestamp"),
     )
     return F.to_json(F.struct(F.array(embed).alias("embeds")))

@@ -25,6 +25,7 @@ def outbox_rows(alerts: DataFrame, config: dict) -> DataFrame:
         F.col("timestamp"),
         F.col("raw_log"),
         score,
+        config.get("footer", "duskwatch"),
         config.get("icon_url"),
     )
     rows = alerts.select("id", F.lit(config.get("webhook_url")).alias("url"), payload.alias("payload"), "created_at")

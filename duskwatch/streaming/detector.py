@@ -82,7 +82,11 @@ def _seconds(value: float) -> timedelta:
 
 
 class LiveDetector:
-    """Detection over a stream of lines (columns source, file, line, ingest_ts)."""
+    """Detection over a stream of lines (columns source, file, line, ingest_ts).
+
+    ``counters`` hold the lines settled and the alerts raised since the start of
+    this run; the query's progress reports the lines read as they come.
+    """
 
     def __init__(
         self,
@@ -97,6 +101,7 @@ class LiveDetector:
         self.pack, self.outputs = pack, outputs
         self.config = config or DetectConfig()
         self.notify = notify or {}
+        self.counters = {"lines_processed": 0, "alerts_triggered": 0}
         self.counter = FailureCounter(spark, state_path, f"{_LINE}, {_PARSED}", self.config, delay, IDENTITY)
 
     def start(self, lines: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -121,7 +126,11 @@ class LiveDetector:
         ready, late = self.counter.process(parsed.where(is_counted()), newest, batch_id)
         others = uncounted(late.unionByName(parsed.where(~is_counted())))
         settled = decide(ready.unionByName(others), self.pack, self.config, keep_benign=True)
-        self._write(stage(settled, "live-settled"), batch_id)
+        settled = stage(settled, "live-settled")
+        self._write(settled, batch_id)
+        done = settled.agg(F.count(F.lit(1)).alias("lines"), F.count("event_type").alias("alerts")).first()
+        self.counters["lines_processed"] += done.lines
+        self.counters["alerts_triggered"] += done.alerts
 
     def _write(self, settled: DataFrame, batch_id: int) -> None:
         created = F.col("ingest_ts")

@@ -397,6 +397,6 @@ def _payload() -> str:
         "|| CASE severity WHEN 'INFO' THEN 65280 WHEN 'WARNING' THEN 16776960 ELSE 16711680 END "
         "|| ',\"fields\":[{\"name\":\"Source IP\",\"value\":\"`' || source_ip || '`\",\"inline\":true},{\"name\":\"Severity\",\"value\":\"' || severity "
         "|| '\",\"inline\":true},{\"name\":\"Timestamp\",\"value\":\"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S UTC') || '\",\"inline\":false},' "
-        f"|| {score} || '{{\"name\":\"Raw Log\",\"value\":\"```' || {shown} || '```\",\"inline\":false}}],\"footer\":{{\"text\":\"Log analyzer HIDS\"}},\"timestamp\":\"' "
+        f"|| {score} || '{{\"name\":\"Raw Log\",\"value\":\"```' || {shown} || '```\",\"inline\":false}}],\"footer\":{{\"text\":\"duskwatch\"}},\"timestamp\":\"' "
         f"|| {iso} || '\"}}]}}' AS payload FROM {ALERTS} WHERE source_ip IS NOT NULL"
     )

@@ -37,6 +37,7 @@ def run_live(spark, pack, tmp_path, batches, delay, config):
         live = LiveDetector(spark, pack, outputs, str(tmp_path / "state"), config, delay, {"enabled": True, "webhook_url": "https://h"})
         lines = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").json(source)
         live.start(lines, str(tmp_path / "checkpoint")).awaitTermination()
+        assert live.counters["lines_processed"] <= sum(len(rows) for rows in batches)
     return outputs
 
 
@@ -89,6 +90,7 @@ def test_a_batch_run_twice_leaves_rows_once(spark, pack, tmp_path):
     rows = event_lines(60)
     first, second = (spark.createDataFrame(part, SCHEMA) for part in (rows[:30], rows[30:]))
     live.process(first, 0)
+    assert live.counters["lines_processed"] == 30
     live.process(second, 1)
     live.process(second, 1)
     assert alert_set(tables.read_table(spark, outputs.alerts)) == batch_alerts(spark, pack, rows, config)
