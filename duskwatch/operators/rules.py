@@ -175,8 +175,7 @@ def with_matches(df: DataFrame, pack: CompiledPack, line: str = "line", out: str
     staged = df.withColumn("_entries", _entries(found, pack))
     staged = staged.withColumn("_likely", _likely(F.col("_entries")))
     staged = staged.withColumn("_hits", _hits(text, F.col("_entries"), F.col("_likely"), pack))
-    staged = staged.withColumn(out, _decide(F.col("_hits"), pack))
-    return staged.drop("_entries", "_likely", "_hits")
+    return staged.select(*df.columns, _decide(F.col("_hits"), pack).alias(out))
 
 
 def _entries(found: Column, pack: CompiledPack) -> Column:
@@ -284,7 +283,8 @@ def match_best(df: DataFrame, pack: CompiledPack, line: str = "line", keep_unmat
 def _exploded(matched: DataFrame, matches: Column, keep_unmatched: bool = False) -> DataFrame:
     # an inner explode, or a filter on a column, would be turned into a filter
     # below the matching that does all of it once more
-    rows = matched.withColumn("_match", F.explode_outer(matches)).drop("_matches")
+    kept = (c for c in matched.columns if c != "_matches")
+    rows = matched.select(*kept, F.explode_outer(matches).alias("_match"))
     return rows if keep_unmatched else rows.where(F.col("_match").isNotNull())
 
 
