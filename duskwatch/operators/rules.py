@@ -82,6 +82,8 @@ class CompiledPack:
     regexes: dict[int, str] = field(default_factory=dict)
     anchors: dict[str, dict] = field(default_factory=dict)
     unanchored: list[int] = field(default_factory=list)
+    # expressions of this pack, built once and used by every query or micro-batch
+    columns: dict = field(default_factory=dict, repr=False)
 
 
 def compile_pack(rules: DataFrame) -> CompiledPack:
@@ -165,17 +167,27 @@ def _constant(value, ddl: str) -> Column:
 
 def with_matches(df: DataFrame, pack: CompiledPack, line: str = "line", out: str = "matches") -> DataFrame:
     """Add the matching rules of ``line`` in load order, with their keywords."""
-    text = F.col(line)
     if not pack.texts:
         return df.withColumn(out, F.array().cast(f"array<{MATCH}>"))
+    if line not in pack.columns:
+        pack.columns[line] = _matching(F.col(line), pack)
+    entries, likely, hits, decided = pack.columns[line]
+    staged = df.withColumn("_entries", entries).withColumn("_likely", likely).withColumn("_hits", hits)
+    return staged.select(*df.columns, decided.alias(out))
+
+
+def _matching(text: Column, pack: CompiledPack) -> tuple[Column, Column, Column, Column]:
+    """The steps of matching; each is used several times by the next and so is a column."""
     found = F.array().cast("array<string>")
     if pack.anchors:
         pattern = termscan.tree_pattern(sorted(pack.anchors))
         found = F.array_distinct(F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(1)))
-    staged = df.withColumn("_entries", _entries(found, pack))
-    staged = staged.withColumn("_likely", _likely(F.col("_entries")))
-    staged = staged.withColumn("_hits", _hits(text, F.col("_entries"), F.col("_likely"), pack))
-    return staged.select(*df.columns, _decide(F.col("_hits"), pack).alias(out))
+    return (
+        _entries(found, pack),
+        _likely(F.col("_entries")),
+        _hits(text, F.col("_entries"), F.col("_likely"), pack),
+        _decide(F.col("_hits"), pack),
+    )
 
 
 def _entries(found: Column, pack: CompiledPack) -> Column:
