@@ -835,11 +835,23 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All registered queries; each takes (spark, sf_dir)."""
-    return dict(_QUERIES)
+    return {**_QUERIES, **_corpus()[0]}
+
+
+def _corpus() -> tuple[dict, dict]:
+    """Queries and SQL of the corpus operators and their pipeline, where those are installed."""
+    try:
+        import corpus_pipeline
+        from duskwatch.llm import queries as corpus
+    except ModuleNotFoundError as e:
+        if e.name in ("corpus_pipeline", "duskwatch.llm"):
+            return {}, {}
+        raise
+    return {**corpus.QUERIES, "pipeline": corpus_pipeline.run}, dict(corpus.SQL)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the registered queries."""
     from oracle import statements
 
-    return statements()
+    return {**statements(), **_corpus()[1]}
