@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm import store
+from duskwatch.llm.packed import gather, pack, unpack
 from duskwatch.llm.units import units
 
 #: Characters of text in a block.
@@ -43,27 +44,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, so that their empty high bytes cost nothing."""
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-        body = zstandard.ZstdCompressor(level=3).compress(planes)
-        out.append(np.array([len(a), a.itemsize, len(body)], np.int64).tobytes() + body)
-    return b"".join(out)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        n, width, size = np.frombuffer(data, np.int64, 3, at).tolist()
-        raw = zstandard.ZstdDecompressor().decompress(data[at + 24 : at + 24 + size], max_output_size=max(1, n * width))
-        out.append(np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().view(f"i{width}" if n else np.int64).reshape(-1))
-        at += 24 + size
-    return out
-
-
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -93,12 +73,12 @@ def _block(ids: list, texts: list, buckets: int) -> Iterator[tuple]:
     for bucket, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
             mine = [words[i] for i in order[a:b]]
-            head = _pack(np.fromiter(map(len, mine), np.int32, len(mine)))
+            head = pack(np.fromiter(map(len, mine), np.int32, len(mine)))
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(mine))
             yield block, bucket, len(head).to_bytes(8, "little") + head + body
     known = np.array([x is not None for x in ids], np.int8)
     plain = np.array([x if x is not None else 0 for x in ids], np.int64)
-    yield block, -1, _pack(plain, known, np.array(counts, np.int32), rank[flat], spot)
+    yield block, -1, pack(plain, known, np.array(counts, np.int32), rank[flat], spot)
 
 
 def _explode(buckets: int, block: int = BLOCK):
@@ -127,7 +107,7 @@ def _encode_bucket(ranks: dict[bytes, int], pattern: str):
         out = []
         for block, bucket, payload in rows.itertuples(index=False):
             head = int.from_bytes(payload[:8], "little")
-            (lengths,) = _unpack(payload[8 : 8 + head])
+            (lengths,) = unpack(payload[8 : 8 + head])
             text = zstandard.ZstdDecompressor().decompress(payload[8 + head :], max_output_size=max(1, int(lengths.sum())))
             counts, ids, at = [], [], 0
             for n in lengths.tolist():
@@ -138,18 +118,12 @@ def _encode_bucket(ranks: dict[bytes, int], pattern: str):
                     got = known[word] = encoding.encode_ordinary(word.decode("utf-8", "surrogatepass"))
                 counts.append(len(got))
                 ids += got
-            out.append((block, bucket, _pack(np.array(counts, np.int32), np.array(ids, np.int32))))
+            out.append((block, bucket, pack(np.array(counts, np.int32), np.array(ids, np.int32))))
         return pd.DataFrame(out, columns=["block", "bucket", "payload"])
 
     return run
 
 
-def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of ranges that follow each other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def _assemble(tokens: list[bytes]):
     token_length = np.array([len(t) for t in tokens], np.int64)
     token_start = np.cumsum(token_length) - token_length
@@ -158,8 +132,8 @@ def _assemble(tokens: list[bytes]):
     def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
         for payload in blocks["payload"]:
-            doc, known, counts, positions, spot = _unpack(payload)
-            answer = [_unpack(p) for _, p in sorted(zip(replies["bucket"], replies["payload"], strict=True))]
+            doc, known, counts, positions, spot = unpack(payload)
+            answer = [unpack(p) for _, p in sorted(zip(replies["bucket"], replies["payload"], strict=True))]
             lengths = np.concatenate([a[0] for a in answer] or [np.zeros(0, np.int32)]).astype(np.int64)
             flat = np.concatenate([a[1] for a in answer] or [np.zeros(0, np.int32)])
             begin = np.cumsum(lengths) - lengths
@@ -186,7 +160,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
         tokens[i] = token
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     buckets = max(16, 2 * store.splits(rows))
-    parts = store.keep(rows.mapInPandas(_explode(buckets), _PARTS), "bpe-parts", "uncompressed").df
+    parts = store.bucketed(rows.mapInPandas(_explode(buckets), _PARTS), "bpe", "block", buckets)
     replies = parts.where("bucket >= 0").groupBy("bucket").applyInPandas(_encode_bucket(ranks, pattern), _PARTS)
     blocks = parts.where("bucket < 0")
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_assemble(tokens), OUT)

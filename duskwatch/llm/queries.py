@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, chat, jaccard, sharding, substring, tokenfile
+from duskwatch.llm import bpe, chat, jaccard, katz, sharding, substring, tokenfile
 from duskwatch.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op3_hypergeometric_shards(spark, sf_dir):
     )
 
 
+@query
+def op4_katz(spark, sf_dir):
+    model = katz.katz(table(spark, sf_dir, "documents"))
+    return model.scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.facts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")

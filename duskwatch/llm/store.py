@@ -46,6 +46,18 @@ def keep(df: DataFrame, label: str, compression: str = "zstd") -> Kept:
     return Kept(df, label, compression)
 
 
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets by ``column`` and read it back.
+
+    Work by that column then needs no shuffle of the table.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm/{name}"
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def splits(df: DataFrame) -> int:
     """Number of input splits, the measure from which bucket counts are taken."""
     return max(1, df.rdd.getNumPartitions())
