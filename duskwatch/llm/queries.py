@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, chat, jaccard, katz, sharding, substring, tokenfile
+from duskwatch.llm import bpe, chat, graphann, jaccard, katz, sharding, substring, tokenfile
 from duskwatch.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b)
 """
 
 
+@query
+def op6_pruned_graph(spark, sf_dir):
+    return graphann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query
 def op7_perspectives(spark, sf_dir):
     return chat.rotate(table(spark, sf_dir, "conversations"))
