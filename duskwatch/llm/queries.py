@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, chat, graphann, jaccard, katz, sharding, substring, tokenfile
+from duskwatch.llm import bpe, chat, cotrain, graphann, jaccard, katz, sharding, substring, tokenfile
 from duskwatch.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,10 @@ def op8_byte_bpe(spark, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_cotraining(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model)
