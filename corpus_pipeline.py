@@ -1,15 +1,60 @@
-"""Pipeline over documents: each stage calls one operator, and its result is stored for the next."""
+"""Pipeline over documents: each stage calls one operator, and its result is stored for the next.
+
+Stages work on everything the stage before kept. All but the last return the columns of documents.
+No stage before the last can be put in SQL as a whole (a fitted classifier, a latent space), so
+there is no SQL for the result; tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, store
+from duskwatch.llm import bpe, cotrain, jaccard, latent, store, substring
 
-STAGES: list = []
+#: Words of a repeated passage that is removed.
+PASSAGE = 50
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    model = cotrain.fit(docs, store.table(spark, sf_dir, "labels"))
+    return cotrain.keep_rows(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.distinct_rows(docs, n=5, num=8, den=10)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of PASSAGE words or more that repeat anywhere; others keep their text as it is."""
+    return substring.without_repeats(docs, PASSAGE)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give away no benchmark item."""
+    return latent.clean_rows(docs, store.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and its text decoded from them."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = store.table(spark, sf_dir, "documents")

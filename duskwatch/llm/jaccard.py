@@ -263,7 +263,7 @@ class _Join:
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row; links are pairs of similarity ``num / den`` or more.
 
-    ``_hash``, a hash of the text, tells rows of equal id apart.
+    ``first`` marks the row that stands for its component; ``_hash``, a hash of the text, tells rows of equal id apart.
     """
     j = _Join(docs, n, num, den, id_col, text_col)
     tiles = store.keep(j.tiles(), "jaccard-tiles").df
@@ -287,7 +287,35 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     rows = j.rows.select("_id", "_hash", "n", "f1").join(labels, F.col("f1") == F.col("node"), "left")
     rows = rows.select("_id", "_hash", "n", F.coalesce("label", "f1").alias("label"))
     full = rows.where("n > 0")
-    least = full.groupBy("label").agg(F.min("_id").alias("component_id"))
-    out = full.join(least, "label").select("_id", "_hash", "n", "component_id")
-    out = out.union(rows.where("n = 0").select("_id", "_hash", "n", F.col("_id")))
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "_hash")
+    last = F.lit((1 << 63) - 1)
+    first = F.struct(F.coalesce("_id", last).alias("i"), "_hash")
+    least = full.groupBy("label").agg(F.min("_id").alias("component_id"), F.min(first).alias("_first"))
+    out = full.join(least, "label").select("_id", "_hash", "n", "component_id", (first == F.col("_first")).alias("first"))
+    out = out.union(rows.where("n = 0").select("_id", "_hash", "n", F.col("_id"), F.lit(True)))
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", "_hash")
+
+
+def distinct_rows(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay if one of each component does: the first by id, then by a hash of the text.
+
+    Rows without words all stay. Rows that repeat another's id and text are one.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    id_at, text_at = (f"_c{names.index(c)}" for c in (id_col, text_col))
+    found = store.keep(join(docs, n, num, den, id_col, text_col), "jaccard-rows").df
+    key = ["_id", "_hash"]
+    found = found.withColumnRenamed("doc_id", "_id")
+    out = store.keep(found.where("NOT first").select(*key).distinct(), "jaccard-out")
+    twice = store.keep(found.where("first AND n_shingles > 0").groupBy(*key).count().where("count > 1").select(*key), "jaccard-twice")
+    keyed = rows.select("*", *store.row_key(id_at, text_at))
+
+    def met(how: str, frame: DataFrame, side: store.Kept) -> DataFrame:
+        s = side.sized().alias("s")
+        return frame.join(s, frame["_id"].eqNullSafe(F.col("s._id")) & (frame["_hash"] == F.col("s._hash")), how)
+
+    left = met("left_anti", keyed, out)
+    if twice.df.isEmpty():
+        return left.select(*rows.columns).toDF(*names)
+    once = met("left_anti", left, twice).union(met("left_semi", left, twice).dropDuplicates(key))
+    return once.select(*rows.columns).toDF(*names)

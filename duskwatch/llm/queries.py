@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import bpe, chat, cotrain, graphann, jaccard, katz, sharding, substring, tokenfile
+from duskwatch.llm import bpe, chat, cotrain, graphann, jaccard, katz, latent, sharding, substring, tokenfile
 from duskwatch.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ def op9_cotraining(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
     return cotrain.score(docs, model)
+
+
+@query
+def op10_latent_decontamination(spark, sf_dir):
+    return latent.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

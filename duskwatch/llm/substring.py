@@ -133,8 +133,8 @@ def _remove(k: int):
                         last = end
                     kept += words[last:]
                     out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"), [tuple(s) for s in spans]))
-                frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "spans"])
-                yield pd.concat([batch.iloc[a:b].drop(columns=["_text", "_hits"]).reset_index(drop=True), frame], axis=1)
+                frame = pd.DataFrame(out, columns=["_n_words", "_n_removed", "_kept", "_spans"])
+                yield pd.concat([batch.iloc[a:b].drop(columns=["_hits"]).reset_index(drop=True), frame], axis=1)
 
     return run
 
@@ -161,19 +161,38 @@ def repeated(docs: DataFrame, k: int) -> DataFrame:
     return whole.union(single)
 
 
-def dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _removed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """All rows with their columns as ``_c0``, ``_c1`` and so on, and what is left of the text."""
+    names = docs.columns
+    named = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names) if c != text_col]
+    keyed = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"), *named)
+    hits = repeated(keyed.select("_id", "_hash", "_text"), k).distinct()
+    hits = store.keep(hits.groupBy("_id", "_hash").agg(F.collect_list(F.struct("at", "n")).alias("_hits")), "debruijn-hits")
+    joined = _attach(keyed, hits, "_hits", "left")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "_hits")
+    return joined.mapInPandas(_remove(k), kinds + ", _n_words long, _n_removed long, _kept string, _spans array<struct<start: int, end: int>>")
+
+
+def dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word covered by a window of ``k`` words that also starts elsewhere.
 
-    Returns ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (remaining words joined by a space),
-    ``spans`` (removed ranges of words) and the columns named in ``carry``.
+    Returns ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (remaining words joined by a space) and
+    ``spans`` (removed ranges of words).
     """
-    rows = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"))
-    hits = repeated(rows, k).distinct().groupBy("_id", "_hash").agg(F.collect_list(F.struct("at", "n")).alias("_hits"))
-    hits = store.keep(hits, "debruijn-hits")
-    full = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    joined = _attach(full, hits, "_hits", "left")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_hits"))
-    out = joined.mapInPandas(_remove(k), kinds + ", n_words long, n_removed long, kept string, spans array<struct<start: int, end: int>>")
-    return out.select(
-        F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept", "spans", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
-    )
+    out = _removed(docs.select(id_col, text_col), k, id_col, text_col)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"), F.col("_spans").alias("spans"))
+
+
+def without_repeats(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows with their columns, texts without repeated windows; a text that has none stays as it is, others are joined by single spaces.
+
+    ``length_col``, where there is such a column, follows the text.
+    """
+    names = docs.columns
+    out = _removed(docs, k, id_col, text_col)
+    cut = F.col("_n_removed") > 0
+    new = {text_col: F.when(cut, F.col("_kept")).otherwise(F.col("_text"))}
+    if length_col in names:
+        kept = F.col(f"_c{names.index(length_col)}")
+        new[length_col] = F.when(cut, F.length("_kept").cast(docs.schema[length_col].dataType)).otherwise(kept)
+    return out.select(*[new.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)])
