@@ -35,6 +35,8 @@ from duskwatch.llm import store
 from duskwatch.llm.components import components
 from duskwatch.llm.words import Sequence, inside, mix, signed, slices, word_hashes
 
+#: Members of a tile that are compared in one group with as many others.
+TILE = 2048
 _SETS = "_id long, _hash long, n long, f1 long, f2 long, bits binary, tiles binary"
 
 
@@ -198,6 +200,47 @@ def _bound(num: int, den: int):
     return run
 
 
+def _pairs(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of one group's members that belong to different components and that sizes and bitmaps allow."""
+    sets = [np.frombuffer(b, np.uint8) for b in rows["bits"]]
+    width = min(map(len, sets))
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sets]).view(np.uint64)
+    f1, n, label, block = (rows[c].to_numpy() for c in ("f1", "n", "label", "block"))
+    split = rows["i"].iat[0] != rows["j"].iat[0]
+    out = []
+    for at in range(len(rows) - 1):
+        rest = np.arange(at + 1, len(rows))
+        rest = rest[(label[rest] != label[at]) & ((block[rest] != block[at]) | (not split))]
+        small, large = np.minimum(n[rest], n[at]), np.maximum(n[rest], n[at])
+        rest = rest[small * den >= large * num]
+        differ = np.bitwise_count(bits[rest] ^ bits[at]).sum(1)
+        rest = rest[differ <= (n[rest] + n[at]) * (den - num) // (den + num)]
+        if len(rest):
+            out.append(np.stack((np.minimum(f1[rest], f1[at]), np.maximum(f1[rest], f1[at])), 1))
+    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+
+def _apart(num: int, den: int):
+    """Pairs of all groups of rows sorted by group; a group has at most two blocks of members."""
+    key = ["tile", "i", "j"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            k = rows[key].to_numpy()
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            edges = [0, *cuts.tolist()]
+            found = [_pairs(rows.iloc[a:b], num, den) for a, b in zip(edges, edges[1:], strict=False)]
+            left = rows.iloc[edges[-1] :]
+            if found:
+                yield pd.concat(found).drop_duplicates()
+        if left is not None and len(left):
+            yield _pairs(left, num, den)
+
+    return run
+
+
 def _arrays(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,10 +321,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     # members of a tile that are still apart meet pairwise
     named = tiles.join(labels, tiles["f1"] == labels["node"], "left").select("tile", "f1", F.coalesce("label", "f1").alias("label"))
     apart = named.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("tile")
-    open_ = store.keep(named.join(apart, "tile", "left_semi"), "jaccard-open").df
-    x, y = open_.toDF("tile", "a", "la"), open_.toDF("tile", "b", "lb")
-    rest = x.join(y, "tile").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
+    open_ = named.join(apart, "tile", "left_semi")
+    # large tiles are cut into blocks, and every two blocks meet in a group of their own
+    blocks = open_.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    open_ = open_.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int"))
+    open_ = open_.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.withColumns({"i": F.least("block", "x"), "j": F.greatest("block", "x")}).join(j.classes.select("f1", "n", "bits"), "f1")
+    groups = open_.select("tile", "i", "j", "f1", "n", "label", "block", "bits").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    rest = groups.mapInPandas(_apart(num, den), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(j.links(rest))
     labels = store.keep(components(links), "jaccard-labels").df
     rows = j.rows.select("_id", "_hash", "n", "f1").join(labels, F.col("f1") == F.col("node"), "left")
