@@ -112,21 +112,34 @@ def _open(k: int):
     return run
 
 
-def _remove(k: int):
+def _merged(k: int):
+    """Ranges of words that a text's runs of windows cover, as begin and end of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for hits in batch["_hits"]:
+                spans: list[int] = []
+                for at, n in sorted((h["at"], h["n"]) for h in hits):
+                    end = at + n + k - 1
+                    if spans and at <= spans[-1]:
+                        spans[-1] = max(end, spans[-1])
+                    else:
+                        spans += [at, end]
+                out.append(np.array(spans, np.int32).tobytes())
+            yield batch[["_id", "_hash"]].assign(_hits=out)
+
+    return run
+
+
+def _remove():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in slices(batch["_text"].array, 1 << 24):
                 out = []
                 for text, hits in zip(batch["_text"].array[a:b], batch["_hits"].array[a:b], strict=True):
                     words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    spans: list[list[int]] = []
-                    for hit in sorted((h["at"], h["n"]) for h in hits) if hits is not None else ():
-                        begin, end = hit[0], hit[0] + hit[1] + k - 1
-                        if spans and begin <= spans[-1][1]:
-                            spans[-1][1] = max(end, spans[-1][1])
-                        else:
-                            spans.append([begin, end])
+                    spans = np.frombuffer(hits, np.int32).reshape(-1, 2).tolist() if hits is not None else []
                     kept, last = [], 0
                     for begin, end in spans:
                         kept += words[last:begin]
@@ -167,10 +180,11 @@ def _removed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     named = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names) if c != text_col]
     keyed = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"), *named)
     hits = repeated(keyed.select("_id", "_hash", "_text"), k).distinct()
-    hits = store.keep(hits.groupBy("_id", "_hash").agg(F.collect_list(F.struct("at", "n")).alias("_hits")), "debruijn-hits")
+    hits = hits.groupBy("_id", "_hash").agg(F.collect_list(F.struct("at", "n")).alias("_hits"))
+    hits = store.keep(hits.mapInPandas(_merged(k), "_id long, _hash long, _hits binary"), "debruijn-hits")
     joined = _attach(keyed, hits, "_hits", "left")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "_hits")
-    return joined.mapInPandas(_remove(k), kinds + ", _n_words long, _n_removed long, _kept string, _spans array<struct<start: int, end: int>>")
+    return joined.mapInPandas(_remove(), kinds + ", _n_words long, _n_removed long, _kept string, _spans array<struct<start: int, end: int>>")
 
 
 def dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
