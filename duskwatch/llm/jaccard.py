@@ -141,7 +141,7 @@ def _scan(n: int, num: int, den: int):
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(tile, set) rows; of several sets of a batch in one tile, the first goes on and the others name it as leader."""
+    """(tile, set) rows; of several sets of a batch in one tile, two go on to meet those of other batches, the rest is known to be live."""
     for batch in batches:
         lengths = batch["tiles"].map(len).to_numpy() // 8
         tile = np.frombuffer(b"".join(batch["tiles"]), np.int64)
@@ -152,8 +152,9 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         new = np.concatenate(([True], tile[1:] != tile[:-1]))
         keep = np.concatenate(([True], (tile[1:] != tile[:-1]) | (f1[1:] != f1[:-1])))
-        first = f1[np.flatnonzero(new)][np.cumsum(new) - 1]
-        yield pd.DataFrame({"tile": tile[keep], "f1": f1[keep], "led": ~new[keep] & (first != f1)[keep]})
+        tile, f1, new = tile[keep], f1[keep], new[keep]
+        place = np.arange(len(tile)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        yield pd.DataFrame({"tile": tile, "f1": f1, "rest": place > 1})
 
 
 def _live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,13 +279,9 @@ class _Join:
 
     def tiles(self) -> DataFrame:
         """``tile, f1`` of all tiles with at least two different sets."""
-        parts = self.rows.where("n > 0").select("f1", "tiles").mapInPandas(_unpack, "tile long, f1 long, led boolean")
-        alone = parts.where("NOT led").select("tile", "f1").repartition("tile").sortWithinPartitions("tile", "f1")
-        met = alone.mapInPandas(_live, "tile long, f1 long")
-        # a tile whose sets met within a batch already is live even if no other batch has it
-        led = parts.where("led").select("tile", "f1")
-        heads = parts.where("NOT led").select("tile", "f1").join(led.select("tile").distinct(), "tile", "left_semi")
-        return met.union(led).union(heads).distinct()
+        parts = self.rows.where("n > 0").select("f1", "tiles").mapInPandas(_unpack, "tile long, f1 long, rest boolean")
+        first = parts.where("NOT rest").select("tile", "f1").repartition("tile").sortWithinPartitions("tile", "f1")
+        return first.mapInPandas(_live, "tile long, f1 long").union(parts.where("rest").select("tile", "f1")).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that are similar."""
