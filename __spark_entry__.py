@@ -117,7 +117,7 @@ def event_log(events: DataFrame) -> DataFrame:
 
 def event_config(**changes) -> DetectConfig:
     """Detection settings under which event lines give all kinds of alerts."""
-    base = {"max_failed_logins": THRESHOLD, "failed_login_window": WINDOW_HOURS * 3600, "allowed": ALLOWED}
+    base = {"max_failed_logins": THRESHOLD, "failed_login_window": WINDOW_HOURS * 3600, "allowed": ALLOWED, "allow_mode": "prefix"}
     return DetectConfig(**{**base, **changes})
 
 
@@ -376,7 +376,7 @@ def allowlist_exact(spark, sf_dir):
 @query
 def allowlist_prefix(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", user_ip().alias("source_ip"))
-    return events.where(~allowlist.is_allowed(F.col("source_ip"), ALLOWED))
+    return events.where(~allowlist.is_allowed(F.col("source_ip"), ALLOWED, "prefix"))
 
 
 @query
@@ -606,7 +606,7 @@ def live_feed_prune(spark, sf_dir):
 def live_feed(spark, sf_dir):
     lines = spread(event_log(table(spark, sf_dir, "events")))
     settled = detect(lines, builtin_pack(spark), event_config(), keep_benign=True)
-    rows = tables.live_rows(settled, ["line_id"], F.col("ingest_ts"))
+    rows = tables.shown(tables.live_rows(settled, ["line_id"], F.col("ingest_ts")))
     shown = display.feed_text(F.col("is_alert"), F.col("description"), F.col("message"))
     return rows.select(display.feed_time(F.col("timestamp")).alias("time"), "source", "is_alert", "severity", "event_type", "source_ip", shown.alias("text"))
 
@@ -778,14 +778,20 @@ def stream_brute_force(spark, sf_dir):
     schema = "event_id bigint, source_ip string, event_ts timestamp"
     counter = FailureCounter(spark, path, schema, event_config(), 0, ["event_id"])
 
+    batches = []
+
     def count(batch, batch_id):
         rows = batch.where("event_type = 'error'").select("event_id", user_ip().alias("source_ip"), F.col("ts").cast("timestamp").alias("event_ts"))
         newest_ts = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-        ready, _ = counter.process(stage(rows, "failures"), newest_ts, batch_id)
+        ready, late = counter.process(stage(rows, "failures"), newest_ts, batch_id)
+        if not late.isEmpty():
+            raise RuntimeError("a failure came later than the watermark allows")
+        batches.append(batch_id)
         ready.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     run = event_stream(spark, sf_dir).writeStream.foreachBatch(count).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
+    counter.close(batches[-1]).write.parquet(f"{path}/out/batch=end")
     return spark.read.parquet(f"{path}/out").select("event_id", "source_ip", "attempts")
 
 
@@ -795,6 +801,7 @@ def stream_detect(spark, sf_dir):
     outputs = Outputs(f"{path}/alerts", f"{path}/live")
     live = LiveDetector(spark, builtin_pack(spark), outputs, f"{path}/state", event_config())
     live.start(event_log(event_stream(spark, sf_dir)), f"{path}/checkpoint").awaitTermination()
+    live.finish()
     return tables.read_table(spark, outputs.alerts).select("event_type", "severity", "source_ip", "description", "raw_log")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def is_allowed(ip: Column, entries: list[str], mode: str = "prefix") -> Column:
+def is_allowed(ip: Column, entries: list[str], mode: str = "cidr") -> Column:
     """True for addresses on a configured list of addresses and networks.
 
     ``prefix`` compares the text before the network's last dot and so ignores the
@@ -50,14 +50,13 @@ def drop_networks(df: DataFrame, networks: DataFrame, ip: str = "source_ip") ->
     """Rows whose address lies in none of a table's networks (column ``cidr``).
 
     Networks become (mask length, network number) pairs, so that every mask
-    length in use is one equality join however many networks there are.
+    length in use is one equality join however many networks there are. An
+    address without mask is a network of one; entries that are no network are
+    skipped, see ``bad_networks``.
     """
-    parts = networks.select(
-        F.substring_index("cidr", "/", -1).cast("int").alias("bits"),
-        ip_number(F.substring_index("cidr", "/", 1)).alias("_base"),
-    )
+    parts = _networks(networks).where(_valid())
     nets = parts.select("bits", _network_number(F.col("_base"), F.col("bits")).alias("_net")).distinct()
-    lengths = [r.bits for r in nets.select("bits").distinct().limit(33).collect()]
+    lengths = [r.bits for r in nets.select("bits").distinct().collect()]  # lengths from 0 to 32
     kept = df.withColumn("_number", ip_number(F.col(ip)))
     for bits in lengths:
         side = nets.where(F.col("bits") == bits).select(F.col("_net").alias(f"_net{bits}"))
@@ -66,5 +65,19 @@ def drop_networks(df: DataFrame, networks: DataFrame, ip: str = "source_ip") ->
     return kept.drop("_number")
 
 
+def _networks(networks: DataFrame) -> DataFrame:
+    bits = F.when(F.contains("cidr", F.lit("/")), F.substring_index("cidr", "/", -1).try_cast("int")).otherwise(F.lit(32))
+    return networks.select("cidr", bits.alias("bits"), ip_number(F.substring_index("cidr", "/", 1)).alias("_base"))
+
+
+def _valid() -> Column:
+    return F.coalesce(F.col("bits").between(0, 32) & F.col("_base").isNotNull(), F.lit(False))
+
+
+def bad_networks(networks: DataFrame) -> DataFrame:
+    """Entries of a table of networks that are none."""
+    return _networks(networks).where(~_valid()).select("cidr")
+
+
 def _network_number(number: Column, bits: Column) -> Column:
     return F.call_function("shiftright", number, F.lit(32) - bits)

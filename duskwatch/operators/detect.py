@@ -19,7 +19,8 @@ class DetectConfig:
     max_failed_logins: int = bruteforce.THRESHOLD
     failed_login_window: float = bruteforce.WINDOW_SECONDS
     allowed: list[str] = field(default_factory=list)
-    allow_mode: str = "prefix"
+    # "prefix" ignores mask lengths and so covers more than the networks listed
+    allow_mode: str = "cidr"
     # "event" counts within the window of event time, "arrival" takes a whole
     # input as arriving at once, the way an uploaded file does
     time_mode: str = "event"
@@ -32,14 +33,18 @@ def parsed_lines(lines: DataFrame, config: DetectConfig, line: str = "line") ->
     present = lines.where(F.length(text.strip(F.col(line))) > 0)
     if "raw_log" not in present.columns:
         present = present.withColumn("raw_log", F.col(line))
+    at = text.event_time(F.col(line), F.col("ingest_ts"))
+    if "event_ts" in present.columns:  # a source that knows the time need not say it in the line
+        present = present.withColumnRenamed("event_ts", "_given_ts")
+        at = F.coalesce("_given_ts", at)
     fields = F.struct(
         text.source_ip(F.col(line)).alias("source_ip"),
-        text.event_time(F.col(line), F.col("ingest_ts")).alias("event_ts"),
+        at.alias("event_ts"),
         text.is_failed_login(F.col("raw_log")).alias("_failed"),
     )
     # as output of a generator the fields are computed once per line; filters on
     # plain columns would be pushed below and search the line once more
-    parsed = present.select("*", F.inline_outer(F.array(fields)))
+    parsed = present.select("*", F.inline_outer(F.array(fields))).drop("_given_ts")
     return parsed.withColumn("_allowed", is_allowed(F.col("source_ip"), config.allowed, config.allow_mode))
 
 

@@ -43,7 +43,8 @@ def alert_rows(alerts: DataFrame, created_at: Column | None = None, identity: li
 def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None = None) -> DataFrame:
     """One live-feed row per line of ``detect(..., keep_benign=True)``.
 
-    Alert fields, the source address among them, stay null for benign lines.
+    Messages are whole lines; ``shown`` cuts them for display. Alert fields, the
+    source address among them, stay null for benign lines.
     """
     created = F.current_timestamp() if created_at is None else created_at
     is_alert = F.col("event_type").isNotNull()
@@ -51,7 +52,7 @@ def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None
         F.xxhash64(*identity).alias("id"),
         F.col("ingest_ts").alias("timestamp"),
         "source",
-        text.cap_message(F.col("line")).alias("message"),
+        F.col("line").alias("message"),
         is_alert.alias("is_alert"),
         "severity",
         "event_type",
@@ -61,6 +62,11 @@ def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None
     )
 
 
+def shown(feed: DataFrame) -> DataFrame:
+    """Live-feed rows with messages cut to the length that a feed shows."""
+    return feed.withColumn("message", text.cap_message(F.col("message")))
+
+
 def append(rows: DataFrame, path: str, batch: int | str = 0, cluster_by: tuple[str, ...] = ()) -> None:
     """Write rows below ``path``, replacing earlier rows of the same day and batch.
 

@@ -80,7 +80,7 @@ def parse_rule(path: str, content: bytes) -> dict:
             "groups": groups,
         }
     except Exception as exc:  # one unreadable file must not stop the scan
-        return {**row, "status": "error", "reason": f"{type(exc).__name__}: {exc}"[:500]}
+        return {**row, "status": "error", "reason": f"{type(exc).__name__}: {exc}"}
 
 
 _FILES = "root_idx int, root string, path string, content binary"

@@ -30,13 +30,14 @@ def _age(event_ts: str, now: str):
 
 
 def drop_resent(
-    df: DataFrame, keys: list[str], event_ts: str = "event_ts", within: str = f"{MAX_AGE_SECONDS} seconds"
+    df: DataFrame, keys: list[str], event_ts: str = "event_ts", within: str | None = None
 ) -> DataFrame:
     """Rows without the repeats that re-sending a batch brings.
 
-    On a stream, repeats are recognised while their first sending is within the
-    watermark; a table is searched as a whole.
+    No row is lost however late it comes; a stream's state then holds every key
+    seen. ``within`` bounds that state, at the price that rows older than the
+    watermark are dropped even if new.
     """
-    if df.isStreaming:
+    if df.isStreaming and within:
         return df.withWatermark(event_ts, within).dropDuplicatesWithinWatermark(keys)
     return df.dropDuplicates(keys)

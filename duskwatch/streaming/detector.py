@@ -15,7 +15,7 @@ from duskwatch.operators.agents import merge_registry
 from duskwatch.operators.detect import DetectConfig, decide, is_counted, parsed_lines, uncounted
 from duskwatch.operators.parse import tagged
 from duskwatch.operators.rules import CompiledPack
-from duskwatch.session import spread, stage
+from duskwatch.session import stage
 from duskwatch.sinks import outbox, tables
 from duskwatch.streaming.state import BatchState
 
@@ -37,9 +37,11 @@ class FailureCounter:
     """Sliding-window counts of failed logins over micro-batches.
 
     Failures are held until the watermark, the newest event time minus ``delay``
-    seconds, has passed them; then they are counted in event-time order. Counts
-    are those of one batch over all lines, as long as none comes later than the
-    watermark. The state holds the failures of the last window and delay only.
+    seconds, lies after them; then they are counted in event-time order, so failures
+    of one second that a batch border cuts apart still count together. Counts
+    are those of one batch over all lines, as long as none comes before the
+    watermark. ``close`` settles what is held at the end of a bounded run. The
+    state holds the failures of the last window and delay only.
     """
 
     def __init__(self, spark: SparkSession, path: str, row_schema: str, config: DetectConfig, delay: float, seq: list[str]):
@@ -60,10 +62,10 @@ class FailureCounter:
         mark = max((m for m in (mark, last) if m is not None), default=None)
 
         at = F.col("event_ts")
-        late = (at <= F.lit(last)) if last is not None else F.lit(False)
+        late = (at < F.lit(last)) if last is not None else F.lit(False)
         held = before.unionByName(failures.where(~late).withColumn("_settled", F.lit(False)))
         window = self.config.failed_login_window
-        settled_now = (at <= F.lit(mark)) if mark is not None else F.lit(False)
+        settled_now = (at < F.lit(mark)) if mark is not None else F.lit(False)
         counts = bruteforce.window_counts(held, seq=self.seq, window_seconds=window, staged=True)
         counted = stage(counts, "counted")
         ready = counted.where(settled_now & ~F.col("_settled")).drop("_settled")
@@ -76,6 +78,14 @@ class FailureCounter:
         self.clock.replace(clock, batch_id)
         return ready, failures.where(late)
 
+    def close(self, batch_id: int) -> DataFrame:
+        """Settle the failures that are held after batch ``batch_id``; later batches may follow."""
+        held = self.rows.before(batch_id + 1)
+        counts = bruteforce.window_counts(held, seq=self.seq, window_seconds=self.config.failed_login_window)
+        counted = stage(counts, "counted")
+        self.rows.replace(counted.drop("attempts").withColumn("_settled", F.lit(True)), batch_id)
+        return counted.where(~F.col("_settled")).drop("_settled")
+
 
 def _seconds(value: float) -> timedelta:
     return timedelta(seconds=value)
@@ -95,13 +105,14 @@ class LiveDetector:
         outputs: Outputs,
         state_path: str,
         config: DetectConfig | None = None,
-        delay: float = 0,
+        delay: float = 1,
         notify: dict | None = None,
     ):
         self.pack, self.outputs = pack, outputs
         self.config = config or DetectConfig()
         self.notify = notify or {}
         self.counters = {"lines_processed": 0, "alerts_triggered": 0}
+        self.last_batch: int | None = None
         self.counter = FailureCounter(spark, state_path, f"{_LINE}, {_PARSED}", self.config, delay, IDENTITY)
 
     def start(self, lines: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -117,22 +128,31 @@ class LiveDetector:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Write what a micro-batch of lines adds to the tables."""
-        columns = ["source", "file", "line", "ingest_ts"]
+        columns = ["source", "file", "line", "ingest_ts"] + [c for c in batch.columns if c == "event_ts"]
         numbered = batch.select(*columns).withColumns(
             {"batch_id": F.lit(batch_id).cast("bigint"), "line_id": F.monotonically_increasing_id()}
         )
-        parsed = stage(parsed_lines(spread(tagged(numbered)), self.config), "live-lines")
-        newest = parsed.agg(F.max("event_ts").alias("t")).first().t
+        parsed = stage(parsed_lines(tagged(numbered), self.config), "live-lines")
+        # a clock that is ahead must not move the watermark past what arrives now
+        newest = parsed.agg(F.max(F.least("event_ts", "ingest_ts")).alias("t")).first().t
         ready, late = self.counter.process(parsed.where(is_counted()), newest, batch_id)
         others = uncounted(late.unionByName(parsed.where(~is_counted())))
-        settled = decide(ready.unionByName(others), self.pack, self.config, keep_benign=True)
-        settled = stage(settled, "live-settled")
+        self._settle(ready.unionByName(others), batch_id)
+        self.last_batch = batch_id
+
+    def finish(self) -> None:
+        """Report the failures still held once a bounded run has ended, so that it equals one batch."""
+        if self.last_batch is not None:
+            self._settle(self.counter.close(self.last_batch), f"{self.last_batch}-end")
+
+    def _settle(self, rows: DataFrame, batch_id: int | str) -> None:
+        settled = stage(decide(rows, self.pack, self.config, keep_benign=True), "live-settled")
         self._write(settled, batch_id)
         done = settled.agg(F.count(F.lit(1)).alias("lines"), F.count("event_type").alias("alerts")).first()
         self.counters["lines_processed"] += done.lines
         self.counters["alerts_triggered"] += done.alerts
 
-    def _write(self, settled: DataFrame, batch_id: int) -> None:
+    def _write(self, settled: DataFrame, batch_id: int | str) -> None:
         created = F.col("ingest_ts")
         found = settled.where(F.col("event_type").isNotNull())
         alerts = tables.alert_rows(found, created, IDENTITY)

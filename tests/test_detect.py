@@ -91,7 +91,7 @@ def test_brute_force_fields(spark, pack):
 
 
 def test_suppression(spark, pack):
-    config = DetectConfig(max_failed_logins=3, allowed=["192.168.1.100", "10.0.0.0/24"])
+    config = DetectConfig(max_failed_logins=3, allowed=["192.168.1.100", "10.0.0.0/24"], allow_mode="prefix")
     attack = "GET /q=1 UNION SELECT a FROM users"
     lines = [(0, f"192.168.1.100 {attack}"), (0, f"172.16.0.1 {attack}"), (0, attack), (0, f"10.0.0.77 {attack}"), (0, "   ")]
     lines += [(1, FAIL.format("192.168.1.100"))] * 10
@@ -140,3 +140,19 @@ def test_detection_plan_matches_each_line_once(spark, pack):
     # once in each part of the union of counted and other lines, and in no filter
     assert plan.count("regexp_extract_all") == 2
     assert not any("regexp_extract_all" in row for row in plan.splitlines() if "Filter" in row)
+
+
+def test_network_tables_take_plain_addresses_and_report_bad_rows(spark):
+    rows = spark.createDataFrame([("10.0.0.1",), ("10.0.0.2",), ("10.0.1.9",)], "source_ip string")
+    nets = spark.createDataFrame([("10.0.0.2",), ("10.0.1.0/24",), ("10.0.0.0/99",), ("nonsense",), (None,)], "cidr string")
+    assert [r.source_ip for r in allowlist.drop_networks(rows, nets).collect()] == ["10.0.0.1"]
+    assert {r.cidr for r in allowlist.bad_networks(nets).collect()} == {"10.0.0.0/99", "nonsense", None}
+
+
+def test_a_given_event_time_is_used(spark, pack):
+    at = [f"2024-05-01 0{h}:00:00" for h in range(4)]
+    rows = [(i, "Failed password for root from 10.0.0.9", "2024-05-01 09:00:00", t) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "line_id bigint, line string, ingest_ts string, event_ts string")
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("ingest_ts", "event_ts")})
+    found = detect(df, pack, DetectConfig(max_failed_logins=3, failed_login_window=60))
+    assert found.where("event_type = 'BRUTE_FORCE'").count() == 0

@@ -37,6 +37,8 @@ def run_live(spark, pack, tmp_path, batches, delay, config):
         live = LiveDetector(spark, pack, outputs, str(tmp_path / "state"), config, delay, {"enabled": True, "webhook_url": "https://h"})
         lines = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").json(source)
         live.start(lines, str(tmp_path / "checkpoint")).awaitTermination()
+        if part is not batches[:half] and rows is batches[-1]:
+            live.finish()
         assert live.counters["lines_processed"] <= sum(len(rows) for rows in batches)
     return outputs
 
@@ -93,6 +95,7 @@ def test_a_batch_run_twice_leaves_rows_once(spark, pack, tmp_path):
     assert live.counters["lines_processed"] == 30
     live.process(second, 1)
     live.process(second, 1)
+    live.finish()
     assert alert_set(tables.read_table(spark, outputs.alerts)) == batch_alerts(spark, pack, rows, config)
 
 
@@ -129,3 +132,21 @@ def test_registry_over_micro_batches(spark, tmp_path):
     names = ["agent_id", "hostname", "logs_received", "metadata", "last_seen"]
     got = sorted(tuple(r) for r in updater.current().select(*names).collect())
     assert got == sorted(tuple(r) for r in agents.registry(spark.createDataFrame(rows, schema)).select(*names).collect())
+
+
+def test_a_burst_cut_by_a_batch_border_is_counted_whole(spark, pack, tmp_path):
+    config = DetectConfig(max_failed_logins=3, failed_login_window=10)
+    burst = [("app", "f", f"{START:%b %d %H:%M:%S} host x: Failed password for u{i} from 10.0.0.9", START) for i in range(4)]
+    outputs = run_live(spark, pack, tmp_path, [burst[:2], burst[2:]], 1, config)
+    found = alert_set(tables.read_table(spark, outputs.alerts))
+    assert found == batch_alerts(spark, pack, burst, config)
+    assert sum(kind == "BRUTE_FORCE" for _, kind, _ in found) == 2
+
+
+def test_a_clock_ahead_does_not_stop_counting(spark, pack, tmp_path):
+    config = DetectConfig(max_failed_logins=3, failed_login_window=10)
+    ahead = START + timedelta(hours=20)
+    first = ("app", "f", f"{ahead:%b %d %H:%M:%S} other x: hello", START)
+    rows = [("app", "f", f"{START + timedelta(seconds=i):%b %d %H:%M:%S} host x: Failed password for root from 10.0.0.9", START + timedelta(seconds=i)) for i in range(4)]
+    outputs = run_live(spark, pack, tmp_path, [[first], rows], 1, config)
+    assert alert_set(tables.read_table(spark, outputs.alerts)) == batch_alerts(spark, pack, [first, *rows], config)
