@@ -726,8 +726,7 @@ def alert_dict(spark, sf_dir):
 
 @query
 def notification_payload(spark, sf_dir):
-    alerts = event_alerts(spark, sf_dir).where("source_ip IS NOT NULL")
-    scored = alerts.withColumns({
+    scored = event_alerts(spark, sf_dir).withColumns({
         "abuse_confidence_score": (F.col("id") % 3 * 40).cast("int"),
         "raw_log": F.repeat("raw_log", ((F.col("id") % 4) * 20 + 1).cast("int")),
     })
@@ -809,12 +808,12 @@ def stream_detect(spark, sf_dir):
 def stream_registry(spark, sf_dir):
     path = run_dir(spark, "registry")
     stage_path = f"{path}/in"
-    # files of agent events, taken in over several micro-batches
-    agent_events(spark, sf_dir).repartitionByRange(3, "ts", "agent_id").write.parquet(stage_path)
+    # files of agent events, taken in over several micro-batches; newer events may come before older ones
+    agent_events(spark, sf_dir).repartitionByRange(4, F.xxhash64("agent_id", "ts")).write.parquet(stage_path)
     updater = RegistryUpdater(spark, f"{path}/state")
     stream = spark.readStream.schema(spark.read.parquet(stage_path).schema).option("maxFilesPerTrigger", "1").parquet(stage_path)
     stream.writeStream.foreachBatch(updater.process).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return updater.current().select("agent_id", stamp("first_seen"), stamp("last_seen"), "logs_received")
+    return updater.current().select("agent_id", "hostname", stamp("first_seen"), stamp("last_seen"), "logs_received", "metadata")
 
 
 @query

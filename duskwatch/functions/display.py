@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duskwatch.functions.metadata import lookup
+from duskwatch.functions.text import UNKNOWN
 
 # Notification colours, layout and link base.
 EMBED_COLORS = {"INFO": 0x00FF00, "WARNING": 0xFFFF00, "CRITICAL": 0xFF0000}
@@ -68,14 +69,15 @@ def notification_payload(
     footer: str = "duskwatch",
     icon_url: str | None = None,
 ) -> Column:
-    """JSON text of one webhook message with an embed for the alert."""
+    """JSON text of one webhook message with an embed for the alert; a missing source is shown as UNKNOWN."""
+    raw_log = F.coalesce(raw_log, F.lit(""))
     fence = F.lit("```")
     raw = F.when(
         F.char_length(raw_log) > EMBED_RAW_CHARS,
         F.concat(fence, F.substring(raw_log, 1, EMBED_RAW_CHARS), F.lit("..."), fence),
     ).otherwise(F.concat(fence, raw_log, fence))
     fields = [
-        _field("Source IP", F.concat(F.lit("`"), source_ip, F.lit("`")), True),
+        _field("Source IP", F.concat(F.lit("`"), F.coalesce(source_ip, F.lit(UNKNOWN)), F.lit("`")), True),
         _field("Severity", severity, True),
         _field("Timestamp", F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss 'UTC'"), False),
         _field("Raw Log", raw, False),

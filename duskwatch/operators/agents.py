@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import text
@@ -66,52 +66,48 @@ def registry(events: DataFrame) -> DataFrame:
     A registration sets hostname and metadata; a batch only adds its entries, and
     names the agent if it came before any registration.
     """
-    return _with_names(events.groupBy("agent_id").agg(*_aggregates()))
-
-
-def _aggregates() -> list[Column]:
-    registered = F.col("registered")
-    when = F.struct("ts", "hostname")
-
-    def latest(value: str) -> Column:
-        return F.max_by(F.when(registered, F.col(value)), F.when(registered, when))
-
-    return [
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        F.sum("n").alias("logs_received"),
-        latest("hostname").alias("_registered_name"),
-        F.min_by("hostname", when).alias("_first_name"),
-        latest("metadata").alias("metadata"),
-    ]
+    registration = F.when(F.col("registered"), F.struct("ts", "hostname", "metadata"))
+    return _named(
+        events.groupBy("agent_id").agg(
+            F.min("ts").alias("first_seen"),
+            F.max("ts").alias("last_seen"),
+            F.sum("n").alias("logs_received"),
+            F.max(registration).alias("registration"),
+            F.min(F.struct("ts", "hostname")).alias("first_event"),
+        )
+    )
 
 
-def _with_names(state: DataFrame) -> DataFrame:
+def _named(state: DataFrame) -> DataFrame:
+    """Hostname and metadata beside the newest registration and the first event that they come from."""
     return state.select(
         "agent_id",
-        F.coalesce("_registered_name", "_first_name").alias("hostname"),
+        F.coalesce("registration.hostname", "first_event.hostname").alias("hostname"),
         "first_seen",
         "last_seen",
         "logs_received",
-        "metadata",
+        F.col("registration.metadata").alias("metadata"),
+        "registration",
+        "first_event",
     )
 
 
 def merge_registry(current: DataFrame, events: DataFrame) -> DataFrame:
-    """Registry after new events: both sides have one row per agent.
+    """Registry after new events, whatever order they arrive in: both sides have one row per agent.
 
-    A known hostname stays unless the new events register another.
+    The newest registration by its own time names the agent, so one that arrives late overwrites nothing.
     """
-    fresh = events.groupBy("agent_id").agg(*_aggregates()).alias("f")
-    joined = current.alias("c").join(fresh, "agent_id", "full_outer")
+    joined = current.alias("c").join(registry(events).alias("f"), "agent_id", "full_outer")
     none = F.lit(0).cast("bigint")
-    return joined.select(
-        "agent_id",
-        F.coalesce("f._registered_name", "c.hostname", "f._first_name").alias("hostname"),
-        F.least("c.first_seen", "f.first_seen").alias("first_seen"),
-        F.greatest("c.last_seen", "f.last_seen").alias("last_seen"),
-        (F.coalesce("c.logs_received", none) + F.coalesce("f.logs_received", none)).alias("logs_received"),
-        F.coalesce("f.metadata", "c.metadata").alias("metadata"),
+    return _named(
+        joined.select(
+            "agent_id",
+            F.least("c.first_seen", "f.first_seen").alias("first_seen"),
+            F.greatest("c.last_seen", "f.last_seen").alias("last_seen"),
+            (F.coalesce("c.logs_received", none) + F.coalesce("f.logs_received", none)).alias("logs_received"),
+            F.greatest("c.registration", "f.registration").alias("registration"),
+            F.least("c.first_event", "f.first_event").alias("first_event"),
+        )
     )
 
 

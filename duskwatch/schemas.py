@@ -12,7 +12,9 @@ AGENT_REGISTRATION = "agent_id string, hostname string, metadata string"
 
 AGENTS = (
     "agent_id string, hostname string, first_seen timestamp, last_seen timestamp, "
-    "logs_received bigint, metadata string"
+    "logs_received bigint, metadata string, "
+    "registration struct<ts: timestamp, hostname: string, metadata: string>, "
+    "first_event struct<ts: timestamp, hostname: string>"
 )
 
 JOURNAL = "MESSAGE string, PRIORITY string, _SYSTEMD_UNIT string, __REALTIME_TIMESTAMP string"

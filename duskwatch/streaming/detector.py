@@ -179,15 +179,13 @@ class RegistryUpdater:
     """Registry of agents, brought up to date by micro-batches of agent events."""
 
     def __init__(self, spark: SparkSession, path: str):
-        columns = schemas.AGENTS
-        self.state = BatchState(spark, path, columns)
-        self.columns = [c.strip().split(" ")[0] for c in columns.split(",")]
+        self.state = BatchState(spark, path, schemas.AGENTS)
         self.last_batch = -1
 
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Merge a micro-batch of ``registry_events`` rows."""
         merged = merge_registry(self.state.before(batch_id), events)
-        self.state.replace(merged.select(*self.columns), batch_id)
+        self.state.replace(merged, batch_id)
         self.last_batch = batch_id
 
     def current(self) -> DataFrame:

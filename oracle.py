@@ -321,7 +321,7 @@ def statements() -> dict[str, str]:
         "stream_dedupe": f"SELECT DISTINCT user_id, event_type, {stamp('ts', 'event_ts')} FROM events",
         "stream_brute_force": f"SELECT event_id, ip AS source_ip, {window_count('ip', 'us', 'event_id')} AS attempts FROM {failures}",
         "stream_detect": f"SELECT event_type, severity, source_ip, description, raw AS raw_log FROM {detected(pack, live_prefix)}",
-        "stream_registry": f"SELECT agent_id, first_seen, last_seen, logs_received FROM ({_registry()})",
+        "stream_registry": _registry(),
         "alert_store": f"SELECT strftime(ts, '%Y-%m-%d') AS dt, severity, count(*) AS count, count(*) AS ids FROM {found} GROUP BY ALL",
         "store_retention": f"SELECT id FROM {ALERTS} WHERE created_at >= {NOW} - INTERVAL 10 DAY",
     }
@@ -395,8 +395,8 @@ def _payload() -> str:
     return (
         "SELECT id, '{\"embeds\":[{\"title\":\"🚨 ' || event_type || '\",\"description\":\"' || description || '\",\"color\":' "
         "|| CASE severity WHEN 'INFO' THEN 65280 WHEN 'WARNING' THEN 16776960 ELSE 16711680 END "
-        "|| ',\"fields\":[{\"name\":\"Source IP\",\"value\":\"`' || source_ip || '`\",\"inline\":true},{\"name\":\"Severity\",\"value\":\"' || severity "
+        "|| ',\"fields\":[{\"name\":\"Source IP\",\"value\":\"`' || coalesce(source_ip, 'UNKNOWN') || '`\",\"inline\":true},{\"name\":\"Severity\",\"value\":\"' || severity "
         "|| '\",\"inline\":true},{\"name\":\"Timestamp\",\"value\":\"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S UTC') || '\",\"inline\":false},' "
         f"|| {score} || '{{\"name\":\"Raw Log\",\"value\":\"```' || {shown} || '```\",\"inline\":false}}],\"footer\":{{\"text\":\"duskwatch\"}},\"timestamp\":\"' "
-        f"|| {iso} || '\"}}]}}' AS payload FROM {ALERTS} WHERE source_ip IS NOT NULL"
+        f"|| {iso} || '\"}}]}}' AS payload FROM {ALERTS}"
     )

@@ -123,7 +123,8 @@ def test_stale_rows_are_dropped(spark):
 
 
 def test_registry_over_micro_batches(spark, tmp_path):
-    rows = [("a", "h1", START, True, "{}", 0), ("a", "h2", START + timedelta(1), False, None, 4), ("b", "h3", START + timedelta(2), False, None, 1), ("b", "h4", START + timedelta(3), True, '{"x":1}', 0)]
+    rows = [("a", "h1", START, True, "{}", 0), ("a", "h2", START + timedelta(1), False, None, 4), ("b", "h3", START + timedelta(2), False, None, 1), ("b", "h4", START + timedelta(3), True, '{"x":1}', 0),
+            ("b", "old", START + timedelta(1), True, '{"x":0}', 0), ("a", "h0", START - timedelta(1), False, None, 2)]
     schema = "agent_id string, hostname string, ts timestamp, registered boolean, metadata string, n bigint"
     updater = RegistryUpdater(spark, str(tmp_path / "state"))
     for batch_id, row in enumerate(rows):
