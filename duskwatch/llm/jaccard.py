@@ -37,6 +37,8 @@ from duskwatch.llm.words import Sequence, inside, mix, signed, slices, word_hash
 
 #: Members of a tile that are compared in one group with as many others.
 TILE = 2048
+#: Members of a group up to which groups are compared many at a time, and bytes of bitmaps compared at a time.
+SMALL, COMPARED = 64, 32 << 20
 _SETS = "_id long, _hash long, n long, f1 long, f2 long, bits binary, tiles binary"
 
 
@@ -221,23 +223,66 @@ def _pairs(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
 
+def _allowed(bits: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs of rows ``a, b`` sizes and bitmaps allow; the wider bitmap is folded to the other's width."""
+    lengths = np.array([len(x) for x in bits])
+    ok = np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
+    width = np.minimum(lengths[a], lengths[b])
+    for w in np.unique(width[ok]).tolist():
+        picked = np.flatnonzero(ok & (width == w))
+        rows = np.unique(np.concatenate((a[picked], b[picked])))
+        folded = np.empty((len(rows), w), np.uint8)
+        for long in np.unique(lengths[rows]).tolist():
+            same = np.flatnonzero(lengths[rows] == long)
+            data = np.frombuffer(b"".join(bits[rows[same]]), np.uint8)
+            folded[same] = np.bitwise_xor.reduce(data.reshape(len(same), long // w, w), axis=1)
+        folded = folded.view(np.uint64)
+        step = max(1, COMPARED // w)
+        for at in range(0, len(picked), step):
+            pick = picked[at : at + step]
+            x, y = np.searchsorted(rows, a[pick]), np.searchsorted(rows, b[pick])
+            differ = np.bitwise_count(folded[x] ^ folded[y]).sum(1)
+            ok[pick] = differ <= (n[a[pick]] + n[b[pick]]) * (den - num) // (den + num)
+    return ok
+
+
+def _small_pairs(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    """What ``_pairs`` finds in each of many small groups, for all of them at once."""
+    end = np.repeat(starts + sizes, sizes)
+    row = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    later = end - row - 1
+    a = np.repeat(row, later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    f1, n, label, block, i, j = (rows[c].to_numpy() for c in ("f1", "n", "label", "block", "i", "j"))
+    keep = (label[a] != label[b]) & ((block[a] != block[b]) | (i[a] == j[a]))
+    a, b = a[keep], b[keep]
+    ok = _allowed(rows["bits"].to_numpy(), n, a, b, num, den)
+    a, b = f1[a[ok]], f1[b[ok]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _apart(num: int, den: int):
     """Pairs of all groups of rows sorted by group; a group has at most two blocks of members."""
     key = ["tile", "i", "j"]
 
+    def found(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        starts, sizes = edges[:-1], np.diff(edges)
+        small = sizes <= SMALL
+        out = [_small_pairs(rows, starts[small], sizes[small], num, den)]
+        out += [_pairs(rows.iloc[a : a + m], num, den) for a, m in zip(starts[~small], sizes[~small], strict=True)]
+        return pd.concat(out).drop_duplicates()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
         for batch in batches:
             rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
             k = rows[key].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            edges = [0, *cuts.tolist()]
-            found = [_pairs(rows.iloc[a:b], num, den) for a, b in zip(edges, edges[1:], strict=False)]
+            edges = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1))
+            if len(edges) > 1:
+                yield found(rows, edges)
             left = rows.iloc[edges[-1] :]
-            if found:
-                yield pd.concat(found).drop_duplicates()
         if left is not None and len(left):
-            yield _pairs(left, num, den)
+            yield found(left.reset_index(drop=True), np.array([0, len(left)]))
 
     return run
 
