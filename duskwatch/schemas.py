@@ -19,10 +19,10 @@ AGENTS = (
 
 JOURNAL = "MESSAGE string, PRIORITY string, _SYSTEMD_UNIT string, __REALTIME_TIMESTAMP string"
 
-RULES = (
-    "root_idx int, root string, path string, status string, reason string, rule_id string, title string, "
-    "description string, level string, tags array<string>, false_positives array<string>, "
-    "condition string, "
+# the fields of a rule file as they stand there
+RULE_FIELDS = (
+    "error string, is_mapping boolean, id string, title string, description string, level string, "
+    "tags array<string>, falsepositives array<string>, condition string, "
     "groups array<struct<name: string, terms: array<struct<text: string, is_regex: boolean>>>>"
 )
 

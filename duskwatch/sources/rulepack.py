@@ -46,57 +46,39 @@ def _compiles(text: str) -> bool:
     return True
 
 
-def _as_list(value) -> list[str]:
-    if value is None or value == "":
-        return []
-    return [str(v) for v in ([value] if isinstance(value, str) else value)]
+def _words(value) -> list[str] | None:
+    return None if value in (None, "") else [str(v) for v in ([value] if isinstance(value, str) else value)]
 
 
-def parse_rule(path: str, content: bytes) -> dict:
-    """Fields of one rule file, or the reason it yields no rule."""
-    row = {"path": path, "status": "skipped", "reason": None}
-    try:
-        doc = yaml.safe_load(content.decode("utf-8"))
-        if not isinstance(doc, dict):
-            return {**row, "reason": "not a mapping"}
-        detection = doc.get("detection") or {}
-        if not detection:
-            return {**row, "reason": "no detection"}
-        named = ((str(k), _terms(v)) for k, v in detection.items() if k != "condition")
-        groups = [{"name": name, "terms": terms} for name, terms in named if terms]
-        if not groups:
-            return {**row, "reason": "no terms"}
-        title = str(doc.get("title", Path(path).stem))
-        return {
-            **row,
-            "status": "loaded",
-            "rule_id": str(doc.get("id", "")),
-            "title": title,
-            "description": str(doc.get("description", title)),
-            "level": str(doc.get("level", "medium")).lower(),
-            "tags": [str(t) for t in doc.get("tags") or []],
-            "false_positives": _as_list(doc.get("falsepositives")),
-            "condition": str(detection.get("condition", "keywords")).strip().lower(),
-            "groups": groups,
-        }
-    except Exception as exc:  # one unreadable file must not stop the scan
-        return {**row, "status": "error", "reason": f"{type(exc).__name__}: {exc}"}
+def _text(value) -> str | None:
+    return None if value is None else str(value)
 
 
 _FILES = "root_idx int, root string, path string, content binary"
-_COLUMNS = (
-    "root_idx root path status reason rule_id title description level tags false_positives "
-    "condition groups"
-).split()
+_FIELDS = "error is_mapping id title description level tags falsepositives condition groups".split()
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _yaml_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands in each rule file, as it stands there; an absent field is null."""
     for files in batches:
-        rows = [
-            {**dict.fromkeys(_COLUMNS), "root_idx": f.root_idx, "root": f.root, **parse_rule(f.path, f.content)}
-            for f in files.itertuples(index=False)
-        ]
-        yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+        out = []
+        for content in files["content"]:
+            found = dict.fromkeys(_FIELDS)
+            try:
+                doc = yaml.safe_load(bytes(content).decode("utf-8"))
+                found["is_mapping"] = isinstance(doc, dict)
+                if found["is_mapping"]:
+                    found |= {name: _text(doc.get(name)) for name in ("id", "title", "description", "level")}
+                    found |= {"tags": [str(t) for t in doc.get("tags") or ()], "falsepositives": _words(doc.get("falsepositives"))}
+                    if doc.get("detection"):
+                        parts = dict(doc["detection"])
+                        found["condition"] = _text(parts.pop("condition", None))
+                        found["groups"] = [{"name": str(name), "terms": _terms(below)} for name, below in parts.items()]
+            except Exception as exc:  # one unreadable file must not stop the scan
+                found = dict.fromkeys(_FIELDS) | {"error": f"{type(exc).__name__}: {exc}"}
+            out.append(found)
+        read = pd.DataFrame(out, columns=_FIELDS, dtype=object)
+        yield pd.concat([files[["root_idx", "root", "path"]].reset_index(drop=True), read], axis=1)
 
 
 def scan_rules(spark: SparkSession, paths: list[str] | None = None, extended_tactics: bool = False) -> DataFrame:
@@ -127,10 +109,35 @@ def in_load_order(rules: DataFrame) -> DataFrame:
 
 def parse_rule_files(files: DataFrame, extended_tactics: bool = False) -> DataFrame:
     """Rules from any table of files (root_idx, root, path, content)."""
-    parsed = files.select("root_idx", "root", "path", "content").mapInPandas(_parse_batches, schemas.RULES)
-    severity = metadata.severity_of_level(F.col("level"))
+    schema = f"root_idx int, root string, path string, {schemas.RULE_FIELDS}"
+    read = files.select("root_idx", "root", "path", "content").mapInPandas(_yaml_fields, schema)
+    groups = F.filter("groups", lambda g: F.size(g.terms) > 0)
+    reason = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(~F.col("is_mapping"), "not a mapping")
+        .when(F.col("groups").isNull(), "no detection")
+        .when(F.size(groups) == 0, "no terms")
+    )
+    status = F.when(F.col("error").isNotNull(), "error").when(reason.isNotNull(), "skipped").otherwise("loaded")
     is_rule = F.col("status") == "loaded"
-    return parsed.select(
+    file_name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]+$", "")
+    condition = F.regexp_replace(F.coalesce("condition", F.lit("keywords")), r"^\s+|\s+$", "")
+    title = F.coalesce("title", file_name)
+    level = F.lower(F.coalesce("level", F.lit("medium")))
+    fields = {
+        "rule_id": F.coalesce("id", F.lit("")),
+        "title": title,
+        "description": F.coalesce("description", title),
+        "level": level,
+        "tags": F.col("tags"),
+        "false_positives": F.coalesce("falsepositives", F.array().cast("array<string>")),
+        "condition": F.lower(condition),
+        "groups": groups,
+    }
+    judged = read.withColumns({"status": status, "reason": reason})
+    rules = judged.select("root_idx", "root", "path", "status", "reason", *(F.when(is_rule, c).alias(name) for name, c in fields.items()))
+    severity = metadata.severity_of_level(F.col("level"))
+    return rules.select(
         "root_idx",
         "root",
         "path",
