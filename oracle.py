@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import yaml
@@ -9,13 +10,25 @@ import yaml
 # the settings the queries use
 THRESHOLD, WINDOW_US = 3, 6 * 3600 * 1_000_000
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+# Patterns of addresses and failed logins, what makes a term a regular expression, tactic names, levels.
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 FAILED = r"Failed password|Invalid user|Authentication failure|sshd.*Failed|denied by pam|failed.*ssh|Too many authentication failures"
-REGEX_MARKS = (".*", r"\d", r"\w", r"\s", "[^", "(?", "(.)")
+REGEX_HINT = re.compile(r"\.\*|\\d|\\w|\\s|\[\^|\(\?|\(\.\)")
 UNCOMPILABLE = {"php.*exec("}
-TACTICS = {t: " ".join(w if w == "and" else w.capitalize() for w in t.split("_")) for t in (
-    "initial_access execution persistence privilege_escalation defense_evasion credential_access discovery "
-    "lateral_movement collection command_and_control exfiltration impact").split()}
+TACTICS = {
+    "initial_access": "Initial Access",
+    "execution": "Execution",
+    "persistence": "Persistence",
+    "privilege_escalation": "Privilege Escalation",
+    "defense_evasion": "Defense Evasion",
+    "credential_access": "Credential Access",
+    "discovery": "Discovery",
+    "lateral_movement": "Lateral Movement",
+    "collection": "Collection",
+    "command_and_control": "Command and Control",
+    "exfiltration": "Exfiltration",
+    "impact": "Impact",
+}
 LEVELS = {"critical": ("CRITICAL", 3), "high": ("CRITICAL", 3), "medium": ("WARNING", 2), "low": ("INFO", 1)}
 
 
@@ -70,7 +83,7 @@ class Pack:
             self.rules.append((idx, rule["title"], rule["description"], severity, rank, "_".join(slug.split()), "|".join(tactics), "|".join(techniques)))
             for ord_, term in enumerate(rule["detection"]["keywords"]):
                 term = term.strip()
-                regex = any(m in term for m in REGEX_MARKS) and term not in UNCOMPILABLE
+                regex = bool(REGEX_HINT.search(term)) and term not in UNCOMPILABLE
                 (self.regexes if regex else self.literals).append((idx, ord_, term))
 
     def rule_table(self) -> str:
