@@ -9,8 +9,10 @@ the views' scores into one probability, and all documents are scored.
 
 There are two targets, ``junk`` (quality 0) and ``toxic`` (toxic 1); a document is kept if neither is more likely than not.
 
-Only fitting uses samples: at most about LABELLED labelled documents and POOL unlabelled
-ones, chosen by a hash of their ids. Every document is scored, over its whole text.
+Only the labelled side is bounded: at most about LABELLED labelled documents, chosen by a hash of their ids, keep
+their label. All other documents take part in every round as unlabelled ones. Features are computed once
+and stored; of copies of a text one takes part, a labelled one if there is any, with the labels of all of them. Every document is
+scored, over its whole text.
 
 Results for odd input: a null or empty text has the features of an empty one; null metadata is a value of its own;
 rows with null or repeated ids are scored each by itself; without labels of both kinds a target has probability 0, so
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from duskwatch.llm import store
 from duskwatch.llm.words import mix, slices, word_hashes
 
-#: Documents to fit on: labelled ones, of which a part is kept for calibration, and unlabelled ones.
-LABELLED, POOL = 20_000, 20_000
+#: Labelled documents to fit on, of which a part is kept for calibration.
+LABELLED = 20_000
 #: Every so many-th labelled document serves calibration.
 FOLD = 4
 #: Features are numbered by hash up to this.
@@ -122,11 +124,15 @@ def _features(batch: pd.DataFrame, a: int, b: int, fields: int):
     return content(texts), metadata(texts, values)
 
 
-def _sample(fields: int):
+#: Columns that tell copies of a text apart and put them in order.
+_COPY = "key binary, id long, meta long, row long"
+
+
+def _stored(fields: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in slices(batch["_text"].array):
-                out = {"fold": batch["fold"].array[a:b], "junk": batch["junk"].array[a:b], "toxic": batch["toxic"].array[a:b]}
+                out = {c: batch[c].array[a:b] for c in ("key", "id", "meta", "row", "fold", *TARGETS)}
                 for view, (owner, feature) in zip(VIEWS, _features(batch, a, b, fields), strict=True):
                     ends = np.searchsorted(owner, np.arange(b - a + 1))
                     out[view] = [feature[s:e].astype(np.int32).tobytes() for s, e in zip(ends, ends[1:], strict=False)]
@@ -165,26 +171,31 @@ def _learn(models: dict):
     """Counts of present features by target and view: of documents that have the label, and of those that have not."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = {view: _expand(batch[view]) for view in VIEWS}
-            n = len(batch)
-            for target in TARGETS:
-                given = batch[target].to_numpy()
-                for view, other in zip(VIEWS, VIEWS[::-1], strict=True):
-                    label = np.where(batch["fold"].to_numpy() == 1, given, -1)
-                    if (target, other) in models:
-                        m = models[target, other]
-                        p = 1 / (1 + np.exp(-(m.a + m.b * m.scores(*seen[other], n))))
-                        told = np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
-                        label = np.where(batch["fold"].to_numpy() == 2, told, label)
-                    owner, feature = seen[view]
-                    one = np.bincount(feature[label[owner] == 1], minlength=SPACE)
-                    none = np.bincount(feature[label[owner] == 0], minlength=SPACE)
-                    at = np.flatnonzero(one + none)
-                    rows = pd.DataFrame({"feature": at, "one": one[at], "none": none[at]})
-                    # feature -1: the documents themselves
-                    rows = pd.concat([rows, pd.DataFrame({"feature": [-1], "one": [(label == 1).sum()], "none": [(label == 0).sum()]})])
-                    yield rows.assign(target=target, view=view)[["target", "view", "feature", "one", "none"]]
+        # per target and view: counts by feature, and the documents themselves at the end
+        counts = {(t, v): np.zeros((2, SPACE + 1), np.int64) for t in TARGETS for v in VIEWS}
+        for whole in batches:
+            for a, b in slices(whole["content"].array, 1 << 23):
+                batch = whole.iloc[a:b]
+                seen = {view: _expand(batch[view]) for view in VIEWS}
+                fold = batch["fold"].to_numpy()
+                for target in TARGETS:
+                    for view, other in zip(VIEWS, VIEWS[::-1], strict=True):
+                        label = np.where(fold == 1, batch[target].to_numpy(), -1)
+                        if (target, other) in models:
+                            m = models[target, other]
+                            p = 1 / (1 + np.exp(-(m.a + m.b * m.scores(*seen[other], b - a))))
+                            told = np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+                            label = np.where(fold == 2, told, label)
+                        owner, feature = seen[view]
+                        for row, value in enumerate((1, 0)):
+                            single, n = np.unique(feature[label[owner] == value], return_counts=True)
+                            counts[target, view][row, single] += n
+                            counts[target, view][row, SPACE] += (label == value).sum()
+        for (target, view), n in counts.items():
+            at = np.flatnonzero(n.sum(0))
+            # feature -1: the documents themselves
+            rows = pd.DataFrame({"feature": np.where(at == SPACE, -1, at), "one": n[0, at], "none": n[1, at]})
+            yield rows.assign(target=target, view=view)[["target", "view", "feature", "one", "none"]]
 
     return run
 
@@ -249,8 +260,8 @@ def _weights(rows: DataFrame, one: int, none: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text",
-        labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Classifier:
-    """Fit on samples of ``docs`` and ``labels`` (``doc_id, quality, toxic``)."""
+        labelled: int = LABELLED, rounds: int = ROUNDS) -> Classifier:
+    """Fit on all ``docs``, of which about ``labelled`` have their label from ``labels`` (``doc_id, quality, toxic``)."""
     million = 1_000_000
     draw = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(million))
     given = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
@@ -261,20 +272,28 @@ def fit(docs: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("lang", "
     # at most about LABELLED rows
     given = store.keep(given.withColumn("fold", F.when(F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(FOLD)) == 0, 0).otherwise(1)), "labels").sized()
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(f).cast("string").alias(f"_f{j}") for j, f in enumerate(fields)])
-    total = max(1, docs.count())
-    sample = rows.join(given, "_id", "left").where(F.col("fold").isNotNull() | (F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(million)) < min(million, pool * million // total)))
-    # copies would make chance features look telling
-    sample = sample.select(
+    text = F.coalesce("_text", F.lit(""))
+    features = [f"_f{j}" for j in range(len(fields))]
+    rows = rows.join(given, "_id", "left").select(
+        F.unhex(F.md5(text)).alias("key"), F.col("_id").alias("id"), F.xxhash64(F.lit(19), *features).alias("meta"), F.monotonically_increasing_id().alias("row"),
         F.coalesce("fold", F.lit(2)).alias("fold"), F.coalesce("junk", F.lit(-1)).cast("int").alias("junk"), F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"),
-        "_text", *[f"_f{j}" for j in range(len(fields))],
-    ).dropDuplicates(["_text"])
-    kind = "fold int, junk int, toxic int, content binary, metadata binary"
-    sample = store.keep(sample.mapInPandas(_sample(len(fields)), kind), "cotrain-sample").df
+        "_text", *features,
+    )
+    kind = f"{_COPY}, fold int, junk int, toxic int, content binary, metadata binary"
+    stored = store.keep(rows.mapInPandas(_stored(len(fields)), kind), "cotrain-features")
+    # copies would make chance features look telling; a labelled one goes before others
+    first = F.min(F.struct((F.col("fold") == 2).alias("unlabelled"), "id", "meta", "row"))
+    copies = stored.df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"), F.max("junk").alias("_junk"), F.max("toxic").alias("_toxic"))
+    copies = store.keep(copies.where("n > 1").select("key", F.col("first.row").alias("_row"), "_junk", "_toxic"), "cotrain-copies")
+    sample = stored.df.join(copies.sized(), "key", "left").where("_row IS NULL OR _row = row").select(
+        "fold", F.coalesce("_junk", "junk").alias("junk"), F.coalesce("_toxic", "toxic").alias("toxic"), "content", "metadata"
+    )
     out = Classifier()
     held = None
     for _ in range(rounds + 1):
         counted = sample.mapInPandas(_learn(out.models), "target string, view string, feature int, one long, none long")
-        counted = store.keep(counted.groupBy("target", "view", "feature").agg(F.sum("one").alias("one"), F.sum("none").alias("none")), "cotrain-counts").df
+        kept = store.keep(counted.groupBy("target", "view", "feature").agg(F.sum("one").alias("one"), F.sum("none").alias("none")), "cotrain-counts")
+        counted = kept.df
         sizes = {(r["target"], r["view"]): (r["one"], r["none"]) for r in counted.where("feature = -1").collect()}
         models = {}
         for (target, view), (one, none) in sizes.items():
@@ -282,8 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("lang", "
                 mine = counted.where((F.col("target") == target) & (F.col("view") == view) & (F.col("feature") >= 0))
                 telling = _weights(mine, one, none).toPandas()  # at most SPACE rows
                 models[target, view] = View(telling["feature"].to_numpy(np.int64), telling["weight"].to_numpy(np.float32))
+        kept.drop()
         if not models:
-            return out
+            break
         columns = ", ".join(f"{t}_{v} double" for t, v in models)
         held = sample.where("fold = 0").mapInPandas(_scored(models), f"junk int, toxic int, {columns}").toPandas()  # a part of LABELLED
         for (target, view), m in models.items():
@@ -292,7 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("lang", "
                 m.a, m.b = _logistic(mine[[f"{target}_{view}"]].to_numpy(), mine[target].to_numpy())
         out.models = models
         out.rounds.append({k: v for k, v in sizes.items()})
-    for target in TARGETS:
+    stored.drop()
+    copies.drop()
+    for target in TARGETS if held is not None else ():
         mine = held[held[target] >= 0]
         if mine[target].nunique() == 2 and all((target, v) in out.models for v in VIEWS):
             out.combined[target] = _logistic(np.stack([_squash(mine[f"{target}_{v}"].to_numpy()) for v in VIEWS], 1), mine[target].to_numpy())
