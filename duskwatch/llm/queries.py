@@ -46,7 +46,7 @@ SELECT doc_id, n AS n_words, gone AS n_removed, sha256(array_to_string(kept, ' '
 @query
 def op2_token_files(spark, sf_dir):
     vocabulary = _read(public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), vocabulary, end=2))
+    return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), vocabulary, end=2, added=True))
 
 
 @query

@@ -15,6 +15,9 @@ over the manifest, one row per file.
 Files go to the shared folder, by the local path if it is mounted and through a file
 system that pyarrow knows otherwise.
 
+With ``added`` the added tokens of the vocabulary, such as the end of a text, are recognised in texts as the library does
+by default; without it they are encoded as plain text.
+
 Results for odd input: a null or empty text has the end id alone; null ids come first;
 documents of equal id stand next to each other, ordered by a hash of their texts; other columns are ignored.
 """
@@ -28,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +52,22 @@ class WordEncoder:
     beside other bytes, so that no merge reaches across it.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         names = self.tokenizer.get_vocab()
+        tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special]
+        # the longest of those that begin at one place comes first
+        contents = sorted((t.content for t in tokens), key=len, reverse=True)
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, contents)) + ")") if contents else None
+        # such tokens take in or ask for what stands beside them
+        self.whole = any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens)
         joined = set("".join(t for t in names if len(t) > 1))
         # bytes below 33 stand as the characters from 256 on
-        free = [n for n in range(9) if chr(256 + n) in names and chr(256 + n) not in joined]
+        free = [n for n in range(9) if chr(256 + n) in names and chr(256 + n) not in joined and not any(chr(n) in c for c in contents)]
         self.parter = chr(free[0]) if free else None
         self.parter_id = names[chr(256 + free[0])] if free else -1
         self.width = 2 if max(names.values(), default=0) < 1 << 16 else 4
@@ -89,8 +99,14 @@ class WordEncoder:
         if rest:
             self._plain(rest)
 
+    def _units(self, text: str) -> list[str]:
+        """Parts of a text that are encoded independently: added tokens, and the units of what stands between them."""
+        if self.marks is None or self.marks.search(text) is None:
+            return units(text)
+        return [text] if self.whole else [u for i, x in enumerate(self.marks.split(text)) for u in ([x] if i % 2 else units(x))]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [units(t) for t in texts]
+        cut = [self._units(t) for t in texts]
         wanted = set().union(*cut) if cut else set()
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > REMEMBER:
@@ -108,11 +124,11 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _write(folder: str, vocabulary: Callable[[], str] | str, end: int, part_of: Callable[[], int]):
+def _write(folder: str, vocabulary: Callable[[], str] | str, end: int, part_of: Callable[[], int], added: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from duskwatch.llm.words import slices
 
-        encoder = WordEncoder(vocabulary)
+        encoder = WordEncoder(vocabulary, added)
         tail = np.array([end], f"<u{encoder.width}").tobytes()
         files, at = None, folder.rstrip("/") + f"/part-{part_of():05d}-{uuid.uuid4().hex}"
         offsets, n, nulls = 0, 0, 0
@@ -146,16 +162,17 @@ def _part() -> int:
     return TaskContext.get().partitionId()
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Write the files and return their manifest, with ``base``: the ids in all files before.
 
-    ``vocabulary`` is the content of a vocabulary file, ``end`` the id put after each document.
+    ``vocabulary`` is the content of a vocabulary file, ``end`` the id put after each document, ``added``
+    tells whether added tokens in texts count as such.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     ranged = rows.repartitionByRange(store.splits(rows), F.col("_id")).sortWithinPartitions("_id", F.xxhash64("_text"))
     folder = f"{shared_dir(spark)}/llm/tokens-{uuid.uuid4().hex}"
-    manifest = store.keep(ranged.mapInPandas(_write(folder, vocabulary, end, _part), MANIFEST), "token-manifest").df
+    manifest = store.keep(ranged.mapInPandas(_write(folder, vocabulary, end, _part, added), MANIFEST), "token-manifest").df
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

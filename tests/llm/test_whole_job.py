@@ -1,10 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
+import json
 import random
+import zlib
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from duskwatch.llm import cotrain
+from duskwatch.llm import cotrain, queries, tokenfile
 
 LABELS = "doc_id long, quality int, toxic int"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -35,3 +40,25 @@ def test_a_labelled_copy_wins_over_its_unlabelled_copies(spark):
     for parts in (1, 5):
         model = cotrain.fit(spark.createDataFrame(rows, DOCS).repartition(parts), labels, rounds=0)
         assert model.rounds[0]["junk", "content"] == tuple(learned)
+
+
+ADDED = ["a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>", "x \n <|endoftext|>\n\n it's", "<|endoftext| >", " <|endoftext|>", "plain  text \x00 \x01", "p <s> q<s><s>t  r"]
+
+
+def _same_as_library(got, vocabulary):
+    library = Tokenizer.from_str(vocabulary)
+    coded = [library.encode(t, add_special_tokens=False).ids + [2] for t in ADDED]
+    assert [(r.n_tokens, r.ids_crc32) for r in sorted(got, key=lambda r: r.start)] == [(len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for c in coded]
+
+
+def test_added_tokens_in_texts_are_encoded_as_the_library_does(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").repartition(2)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        plain = f.read()
+    _same_as_library(queries.op2_token_files(spark, str(tmp_path)).collect(), plain)
+    for strip in (False, True):
+        more = json.loads(plain)
+        names = ["<s>", "<s><s>t"]
+        more["added_tokens"] += [{**more["added_tokens"][0], "id": 50257 + i, "content": c, "lstrip": strip} for i, c in enumerate(names)]
+        _same_as_library(tokenfile.read_tokens(tokenfile.write_tokens(df, json.dumps(more), 2, added=True)).collect(), json.dumps(more))
