@@ -6,7 +6,8 @@
    problems of the size of the sketch's width.
 3. Documents are read in overlapping windows of words; a window whose latent vector has a cosine of
    COSINE or more with a passage's is a candidate. Windows that lack the words of the answer that
-   every match needs are passed over without computing their vectors; all others are compared.
+   every match needs are passed over without computing their vectors; all others are compared. What a document
+   holds word for word, a whole item of fewer than RUN words or RUN words of a longer one, is a candidate at any cosine.
 4. Around a candidate, the longest common subsequence of words with the passage must reach LCS
    of its length, and ANSWER of its most informative third of words, its answer, must stand there; a run
    of RUN words in common needs RUN_ANSWER words of the answer only.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.llm import store
 from duskwatch.llm.packed import gather
-from duskwatch.llm.words import slices, word_hashes
+from duskwatch.llm.words import Sequence, inside, slices, word_hashes
 
 SPACE = 1 << 16
 RANK, OVERSAMPLE = 128, 32
@@ -39,6 +40,8 @@ HALF = 32
 PASSAGE = 60
 SHORTEST = 5
 ITEMS = 20_000
+#: Bits of a hash by which words are marked that may begin an exact match.
+MARKS = 24
 COSINE, LCS, ANSWER, RUN, RUN_ANSWER = 0.35, 0.6, 0.5, 13, 3
 
 
@@ -195,8 +198,45 @@ class Finder:
         self.need = np.array([min(int(np.ceil(ANSWER * len(a))), RUN_ANSWER, len(a)) for a in self.answers])
         word = np.concatenate(self.answers)
         order = np.argsort(word, kind="stable")
+        self._index_exact()
         self.answer_words, self.answer_of = word[order], np.repeat(np.arange(len(self.answers)), [len(a) for a in self.answers])[order]
 
+    def _index_exact(self) -> None:
+        """Hashes of whole short passages and of runs of RUN words, by length, and marks of the words they begin with."""
+        self.begins = np.zeros(1 << MARKS, bool)
+        self.exact = {}
+        for length in range(SHORTEST, RUN + 1):
+            which = [i for i, w in enumerate(self.words) if (len(w) >= RUN if length == RUN else len(w) == length)]
+            if not which:
+                continue
+            counts = np.array([len(self.words[i]) for i in which])
+            joined = np.concatenate([self.words[i] for i in which])
+            at = inside(counts, length)
+            hashes = Sequence(joined)
+            self.begins[hashes.span(at, at + SHORTEST) >> np.uint64(64 - MARKS)] = True
+            found = hashes.span(at, at + length)
+            order = np.argsort(found, kind="stable")
+            self.exact[length] = found[order], np.repeat(which, counts)[at][order]
+
+    def _exact(self, h: np.ndarray, counts: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """Windows and passages, as one number, that have a short passage or a run of RUN words in common."""
+        at = inside(counts, SHORTEST)
+        if not len(at):
+            return at
+        hashes = Sequence(h)
+        at = at[self.begins[hashes.span(at, at + SHORTEST) >> np.uint64(64 - MARKS)]]
+        left = np.repeat(np.cumsum(counts), counts)[at] - at
+        out = [np.zeros(0, np.int64)]
+        for length, (known, passage) in self.exact.items():
+            mine = at[left >= length]
+            found = hashes.span(mine, mine + length)
+            low, high = np.searchsorted(known, found, "left"), np.searchsorted(known, found, "right")
+            window = np.repeat(half[mine], high - low)
+            # the windows around which it stands
+            near = (window[:, None] + np.arange(-3, 3)) * len(self.words) + passage[gather(low, high - low)][:, None]
+            out.append(np.unique(near))
+        return np.unique(np.concatenate(out))
+
     def _answers_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of answer words among all words, and which entries of the answers stand there."""
         low, high = np.searchsorted(self.answer_words, h, "left"), np.searchsorted(self.answer_words, h, "right")
@@ -252,7 +292,7 @@ class Finder:
         vectors = self._latent(_number(h), half, owner_half, wanted)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
         cosine = np.einsum("ij,ij->i", vectors[which], self.coded[passages])
-        near = cosine >= COSINE
+        near = (cosine >= COSINE) | np.isin(windows * len(self.words) + passages, self._exact(h, counts, half))
         for w, p, c in zip(windows[near].tolist(), passages[near].tolist(), cosine[near].tolist(), strict=True):
             text, passage = int(owner_half[w]), self.words[p]
             at = begins[text] + (w - first[text]) * HALF

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from duskwatch.llm import cotrain, queries, tokenfile
+from duskwatch.llm import cotrain, latent, queries, tokenfile
 
 LABELS = "doc_id long, quality int, toxic int"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -62,3 +62,25 @@ def test_added_tokens_in_texts_are_encoded_as_the_library_does(spark, tmp_path):
         names = ["<s>", "<s><s>t"]
         more["added_tokens"] += [{**more["added_tokens"][0], "id": 50257 + i, "content": c, "lstrip": strip} for i, c in enumerate(names)]
         _same_as_library(tokenfile.read_tokens(tokenfile.write_tokens(df, json.dumps(more), 2, added=True)).collect(), json.dumps(more))
+
+
+def _prose(rng, n):
+    return [f"r{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_verbatim_items_are_found_at_any_cosine(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [_prose(rng, n) for n in [*range(5, 16), 13, 20, 40] * 3]
+    rows, want = [], set()
+    for i, words in enumerate(items):
+        text = _prose(rng, 300)
+        at = rng.randrange(300)
+        # a long item's other words, which its answer needs, follow in reverse
+        text[at:at] = words[:13] + words[:12:-1] if len(words) > 15 else words
+        rows.append((i, " ".join(text)))
+        want.add((i, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    # as in a benchmark so large that the latent space tells nothing
+    monkeypatch.setattr(latent, "COSINE", 2.0)
+    assert {(r.doc_id, r.item_id) for r in latent.matches(df, bench).collect()} == want
