@@ -36,7 +36,8 @@ SPACE = 1 << 16
 RANK, OVERSAMPLE = 128, 32
 #: Words in half a window.
 HALF = 32
-#: Words in a benchmark passage at most; longer items are cut.
+#: Words in a benchmark passage; longer items are cut into passages that overlap by RUN - 1 words, so that no run of RUN
+#: words is cut. Fewer than SHORTEST words that are left over join the passage before; the windows' regions allow for 2 * HALF.
 PASSAGE = 60
 SHORTEST = 5
 ITEMS = 20_000
@@ -77,8 +78,10 @@ def _passages(idf: np.ndarray):
             ends = np.cumsum(counts)
             rows = []
             for i, (item, a, b) in enumerate(zip(batch["item_id"], ends - counts, ends, strict=True)):
-                for k in range(max(1, -(-(b - a) // PASSAGE))):
-                    words = h[a:b][k * PASSAGE : (k + 1) * PASSAGE]
+                step = PASSAGE - RUN + 1
+                n = 1 + max(0, -(-(b - a - PASSAGE - SHORTEST + 1) // step))
+                for k in range(n):
+                    words = h[a:b][k * step : k * step + PASSAGE if k < n - 1 else b - a]
                     if len(words) >= SHORTEST:
                         rows.append((item, k, words.tobytes(), idf[_number(words)].tobytes()))
             yield pd.DataFrame(rows, columns=["item_id", "passage", "words", "weights"])

@@ -5,7 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -84,3 +86,28 @@ def test_verbatim_items_are_found_at_any_cosine(spark, monkeypatch):
     # as in a benchmark so large that the latent space tells nothing
     monkeypatch.setattr(latent, "COSINE", 2.0)
     assert {(r.doc_id, r.item_id) for r in latent.matches(df, bench).collect()} == want
+
+
+@pytest.mark.parametrize("n", [4, 5, 59, 60, 61, 64, 65, 108, 112, 113, 200, 333])
+def test_passages_of_long_items_cut_no_run_and_lose_no_word(n):
+    batch = pd.DataFrame({"item_id": [1], "_text": [" ".join(f"w{i}" for i in range(n))]})
+    out = pd.concat(latent._passages(np.ones(latent.SPACE))(iter([batch])))
+    passages = [p for p in out["words"].map(lambda w: np.frombuffer(w, np.uint64).tolist())]
+    assert all(latent.SHORTEST <= len(p) <= 2 * latent.HALF for p in passages)
+    assert bool(passages) == (n >= latent.SHORTEST)
+    size = min(n, latent.RUN)
+    runs = {tuple(p[i : i + size]) for p in passages for i in range(len(p) - size + 1)}
+    assert len(runs) == (n - size + 1 if passages else 0)
+
+
+def test_a_quote_across_a_cut_is_found(spark):
+    rng = random.Random(8)
+    item = [f"q{i}" for i in range(150)]
+    quote = _prose(rng, 300) + item[48:72] + _prose(rng, 300)
+    # the item's other words are more common, so that the quoted ones are its answer
+    others = [w for w in item[:48] + item[72:] for _ in range(2)]
+    rng.shuffle(others)
+    rows = [(0, " ".join(quote))] + [(1 + i, w + " " + " ".join(_prose(rng, 20))) for i, w in enumerate(others)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in latent.matches(df, bench).collect()} == {0}
