@@ -1,11 +1,13 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Equal vectors are one class. Spherical k-means, fitted on a bounded sample, gives centres; a
-vector goes to its nearest centre's cell and to every other cell that could hold the middle of it and a
-partner: if cosine(x, y) >= t, the unit vector m between them lies within r = 2 sin(acos(t) / 4) of both,
-and m can lie in the cell of centre b only if x.(c_a - c_b) <= r |c_a - c_b|, with a the nearest centre. So every
-pair meets in the cell of its middle, however good the centres are, and no link is lost. A pair that meets in
-several cells counts in the first of them.
+vector goes to its nearest centre's cell and to others that could hold the middle of it and a
+partner, so that a pair meets in the cell of its middle. If cosine(x, y) >= t, the unit vector m between them lies within
+r = 2 sin(acos(t) / 4) of both, and m can lie in the cell of centre b only if x.(c_a - c_b) <= r |c_a - c_b|, with a the
+nearest centre. That bound is reached only by pairs that differ along the line between two centres. Differences
+in any other direction have a part along it of some r / sqrt(d), d the number of coordinates, and vectors are dealt for SURE times
+that; ``sure=None`` deals them for the whole bound, loses no link whatever the centres are, and costs more copies. Recall is measured in
+the tests and the README. A pair that meets in several cells counts in the first of them.
 
 Within a cell, vectors are compared by products of blocks. A large cell is cut into blocks; each block is a unit
 of work of its own which meets the rest of the cell as a stream. A unit gives back, per vector, the
@@ -33,9 +35,13 @@ from duskwatch.llm.classes import join_classes
 from duskwatch.llm.components import components
 
 #: Vectors for which a cell is planned, most cells, vectors per cell in the sample (picked by hash) that is fitted, and rounds of fitting.
-CELL, CELLS, SAMPLE, ROUNDS = 1024, 4096, 64, 5
+CELL, CELLS, SAMPLE, ROUNDS = 256, 16384, 64, 5
+#: Standard deviations of a random difference along a line for which vectors are dealt to further cells.
+SURE = 2.5
 #: Vectors of a cell that one unit of work compares with the whole cell, and vectors in a product.
 BLOCK, TILE = 16384, 1024
+#: Rows that a task of comparing reads, if no cell is larger.
+TASK = 4096
 #: Room for rounding in the test of cells.
 SLACK = 1e-7
 
@@ -88,14 +94,17 @@ def fit(vectors: DataFrame, count: int) -> np.ndarray:
     return centres
 
 
-def _deal(centres: np.ndarray, threshold: float):
+def _deal(centres: np.ndarray, threshold: float, sure: float | None):
     """Cells of each vector: its own and those that could hold the middle of a linked pair; with each, the cells before it."""
     reach = 2 * math.sin(math.acos(min(1.0, threshold)) / 4)
+    if sure is not None:
+        reach *= min(1.0, sure / math.sqrt(centres.shape[1]))
+    rows_at_once = max(1, (1 << 21) // len(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for begin in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(begin, rows_at_once)
                 x = unit(_matrix(part.column("v")))
                 near = x @ centres.T
                 own = near.argmax(1)
@@ -193,6 +202,10 @@ class _Unit:
                 label[:] = deeper
 
     def out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts and not self.ready:
+            return (np.zeros(0, np.int64),) * 3
+        if not self.ready:
+            self.close()
         hit = np.flatnonzero(self.links)
         return self.node[hit], self.links[hit], self.node[self.label[hit]]
 
@@ -217,21 +230,19 @@ def _compare(threshold: float):
                     what = (part.column("node").to_numpy(), part.column("n").to_numpy(), unit(_matrix(part.column("v"))), part.column("before").to_pylist())
                     if tuple(key[:3, a]) != now:
                         if unit_ is not None:
-                            if not unit_.ready:
-                                unit_.close()
                             yield frame(*unit_.out())
                         now, unit_ = tuple(key[:3, a]), _Unit(threshold)
                     if key[3, a] == 0:
                         unit_.add(*what)
                         continue
+                    if not unit_.parts and not unit_.ready:
+                        continue  # no vector fell into this block
                     if not unit_.ready:
                         unit_.close()
                     met = unit_.meet(*what)
                     hit = met >= 0
                     yield frame(what[0][hit], np.zeros(int(hit.sum()), np.int64), met[hit])
         if unit_ is not None:
-            if not unit_.ready:
-                unit_.close()
             yield frame(*unit_.out())
 
     return run
@@ -239,19 +250,20 @@ def _compare(threshold: float):
 
 def _units(dealt: store.Kept) -> DataFrame:
     """The dealt vectors by unit of work: each block of a cell, and the cell's other blocks for it to meet."""
-    sizes = dealt.df.groupBy("length", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = dealt.df.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sizes = store.keep(sizes, "cells-sizes")
-    number = max(1, sizes.df.agg(F.sum("blocks")).first()[0] or 0)
+    # rows that the units read, each block of a cell the whole cell
+    read = sizes.df.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     # one row per cell, and there are at most CELLS and one per other length
-    cut = dealt.df.join(sizes.sized(), ["length", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = dealt.df.join(sizes.sized().drop("n"), ["length", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("side", (F.col("block") != F.col("mine")).cast("int"))
     spread = spread.select("length", "cell", "block", "side", "node", "n", "before", "v")
     order = ["length", "cell", "block"]
-    return spread.repartition(2 * number, *order).sortWithinPartitions(*order, "side")
+    return spread.repartition(read // TASK + 1, *order).sortWithinPartitions(*order, "side")
 
 
-def link(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def link(rows: DataFrame, threshold: float = 0.95, sure: float | None = SURE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Every row's ``vec_id, n_links, component_id, kept``; ``threshold`` is above 0."""
     numbered = rows.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")
@@ -271,7 +283,7 @@ def link(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vecto
         F.lit(0).alias("cell"), F.array().cast("array<int>").alias("before"), "node", "n", "v"
     )
     if count:
-        deal = _deal(fit(common, count), threshold)
+        deal = _deal(fit(common, count), threshold, sure)
         dealt = common.select("node", "n", "v").mapInArrow(deal, "cell int, before array<int>, node long, n long, v array<double>").union(dealt)
     dealt = store.keep(dealt.withColumn("length", F.size("v")), "cells-dealt")
     found = store.keep(_units(dealt).mapInArrow(_compare(threshold), "node long, links long, other long"), "cells-links")
