@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from duskwatch import schemas  # noqa: E402
 from duskwatch.functions import display, metadata, text  # noqa: E402
 from duskwatch.operators import agents, allowlist, bruteforce, parse, rules, running  # noqa: E402
 from duskwatch.operators.detect import DetectConfig, detect, with_reputation  # noqa: E402
@@ -24,7 +25,9 @@ from duskwatch.sources import agents as agent_source  # noqa: E402
 from duskwatch.sources import alerts as alert_source  # noqa: E402
 from duskwatch.sources import journal, logfiles, rulepack  # noqa: E402
 from duskwatch.streaming import buffer  # noqa: E402
-from duskwatch.streaming.detector import IDENTITY, FailureCounter, LiveDetector, Outputs, RegistryUpdater  # noqa: E402
+from duskwatch.sinks.store import Store  # noqa: E402
+from duskwatch.streaming import windows  # noqa: E402
+from duskwatch.streaming.detector import AgentIngest, LiveDetector, Outputs, RegistryUpdater  # noqa: E402
 
 ENTRY_DATA = "/root/testdata/sf0.001"
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -228,9 +231,18 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream of five files, taken in one by one.
+
+    Files follow each other in time, but the events of every third user lag by a file, and some of all others come with the first or the last file.
+    """
+    events = table(spark, sf_dir, "events")
+    day = F.dayofyear(F.col("ts").cast("timestamp"))
+    place = F.least(F.floor(day / 8), F.lit(3)) + F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)
+    file = F.when(F.col("event_id") % 17 == 0, 4).when(F.col("event_id") % 19 == 0, 0).otherwise(place)
+    path = run_dir(spark, "events")
+    events.withColumn("part", file).repartition(5, "part").write.partitionBy("part").parquet(path)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true")
+    return reader.parquet(path)
 
 
 # --------------------------------------------------------------------------
@@ -774,34 +786,90 @@ def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @query
 def stream_brute_force(spark, sf_dir):
     path = run_dir(spark, "brute")
-    schema = "event_id bigint, source_ip string, event_ts timestamp"
-    counter = FailureCounter(spark, path, schema, event_config(), 0, ["event_id"])
-
-    batches = []
+    failures = event_stream(spark, sf_dir).where("event_type = 'error'").select("event_id", user_ip().alias("source_ip"), F.col("ts").cast("timestamp").alias("event_ts"))
+    counts = windows.live_counts(failures, ["event_id"], event_config().failed_login_window)
 
-    def count(batch, batch_id):
-        rows = batch.where("event_type = 'error'").select("event_id", user_ip().alias("source_ip"), F.col("ts").cast("timestamp").alias("event_ts"))
-        newest_ts = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-        ready, late = counter.process(stage(rows, "failures"), newest_ts, batch_id)
-        if not late.isEmpty():
-            raise RuntimeError("a failure came later than the watermark allows")
-        batches.append(batch_id)
-        ready.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+    def write(batch, batch_id):
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
-    run = event_stream(spark, sf_dir).writeStream.foreachBatch(count).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    counter.close(batches[-1]).write.parquet(f"{path}/out/batch=end")
-    return spark.read.parquet(f"{path}/out").select("event_id", "source_ip", "attempts")
+    counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    # a count that a late failure has raised is written again
+    found = spark.read.parquet(f"{path}/out")
+    return found.groupBy("event_id", "source_ip").agg(F.max_by("attempts", "version").alias("attempts"))
 
 
 @query
 def stream_detect(spark, sf_dir):
     path = run_dir(spark, "detect")
-    outputs = Outputs(f"{path}/alerts", f"{path}/live")
-    live = LiveDetector(spark, builtin_pack(spark), outputs, f"{path}/state", event_config())
+    live = LiveDetector(spark, builtin_pack(spark), Outputs(f"{path}/out"), f"{path}/state", event_config())
     live.start(event_log(event_stream(spark, sf_dir)), f"{path}/checkpoint").awaitTermination()
-    live.finish()
-    return tables.read_table(spark, outputs.alerts).select("event_type", "severity", "source_ip", "description", "raw_log")
+    return live.store.read("alerts").select("event_type", "severity", "source_ip", "description", "raw_log")
+
+
+def _ingested(spark: SparkSession, sf_dir: str):
+    """Tables after the agent batches came in as a stream of five files, whose order is not that of the batches."""
+    path = run_dir(spark, "agents")
+    batches = agent_batches(spark, sf_dir).select(
+        "conv_id", "turn", "agent_id", "hostname", F.concat_ws(":", "conv_id", "turn").alias("timestamp"), "logs", F.col("ts").alias("ingest_ts")
+    )
+    batches.repartition(5, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5))).write.json(f"{path}/in")
+    stream = agent_source.stream_batches(spark, f"{path}/in", 1, "conv_id bigint, turn int, ingest_ts timestamp")
+    live = AgentIngest(spark, builtin_pack(spark), Outputs(f"{path}/out"), f"{path}/state", DetectConfig(seq=("conv_id", "turn", "log_no")))
+    live.start(stream, f"{path}/checkpoint").awaitTermination()
+    return live.store
+
+
+@query
+def stream_agent_ingest(spark, sf_dir):
+    return _ingested(spark, sf_dir).read("alerts").select("event_type", "severity", "source_ip", "raw_log")
+
+
+@query
+def agent_live_feed(spark, sf_dir):
+    feed = _ingested(spark, sf_dir).read("agent_feed")
+    return feed.select("agent_id", "hostname", "source", "message", "is_alert", "severity", "event_type", "description")
+
+
+@query
+def stream_agent_receipts(spark, sf_dir):
+    store = _ingested(spark, sf_dir)
+    sizes = store.read("receipts").select(F.col("sent").alias("batch"), "agent_id", "logs_processed", "alerts_created")
+    state = agents.registry(store.read("registry_events")).select("agent_id", F.col("logs_received").alias("agent_logs"), stamp("last_seen"))
+    return sizes.join(state, "agent_id")
+
+
+@query
+def live_table(spark, sf_dir):
+    path = run_dir(spark, "live-table")
+    store = Store(spark, path)
+    settled = detect(event_log(table(spark, sf_dir, "events")), builtin_pack(spark), event_config(), keep_benign=True)
+    rows = stage(tables.live_rows(settled.withColumn("id", F.col("line_id")), None, F.col("ingest_ts")), "live-rows")
+    # two batches that share all days
+    for n in range(2):
+        store.write("feed", rows.where(F.col("id") % 2 == n), f"b{n}")
+        store.commit(f"b{n}", add={"feed": [f"b{n}"]})
+    store.prune(500)
+    return store.read("feed").select("id", "message", "is_alert", "severity", "event_type")
+
+
+@query
+def store_compacted(spark, sf_dir):
+    path = run_dir(spark, "compacted")
+    store, alerts = Store(spark, path), event_alerts(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    lists = {c: none for c in schemas.JSON_COLUMNS}
+    full = stage(alerts.withColumns({**lists, "sigma_rule_id": F.lit(""), "sigma_rule_title": F.lit("")}), "compact-in")
+    for n in range(4):
+        store.write("alerts", full.where(F.col("id") % 4 == n), f"b{n}", n)
+        store.commit(f"b{n}", add={"alerts": [f"b{n}"]})
+    # every hundredth alert is written again with another severity
+    again = full.where(F.col("id") % 100 == 0).withColumns({"severity": F.lit("EMERGENCY"), "amends": F.lit(True)})
+    store.write("alerts", again, "b4", 4)
+    store.commit("b4", add={"alerts": ["b4"]}, amended=["alerts"])
+    store.expire(10, asof=asof(alerts))
+    store.compact("alerts")
+    store.vacuum(0)
+    return store.read("alerts").select("id", "severity", "source_ip", F.col("dt").cast("string").alias("dt"))
 
 
 @query

@@ -8,8 +8,6 @@ AGENT_BATCH = (
     "priority: string, unit: string, raw: string>>"
 )
 
-AGENT_REGISTRATION = "agent_id string, hostname string, metadata string"
-
 AGENTS = (
     "agent_id string, hostname string, first_seen timestamp, last_seen timestamp, "
     "logs_received bigint, metadata string, "
@@ -39,4 +37,11 @@ LIVE_LOGS = (
     "severity string, event_type string, description string, source_ip string, created_at timestamp"
 )
 
-REPUTATION = "source_ip string, score int"
+AGENT_FEED = (
+    "id bigint, timestamp string, hostname string, source string, message string, agent_id string, is_alert boolean, "
+    "severity string, event_type string, description string, created_at timestamp"
+)
+RECEIPTS = "id bigint, agent_id string, sent string, logs_processed bigint, alerts_created bigint, created_at timestamp"
+REGISTRY_EVENTS = (
+    "id bigint, agent_id string, hostname string, ts timestamp, registered boolean, metadata string, n bigint, created_at timestamp"
+)

@@ -1,12 +1,14 @@
 """Alert, live-feed and registry tables in Parquet.
 
 Tables are partitioned by day (``dt``) and by the batch that wrote the rows
-(``batch``). A batch replaces its own partitions only, so a micro-batch that is
-run again after a failure leaves every row once.
+(``batch``). A batch replaces its own partitions only, so one that is
+run again after a failure leaves every row once. ``store.Store`` keeps the tables of a live run.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,12 @@ def alert_rows(alerts: DataFrame, created_at: Column | None = None, identity: li
     """Detected alerts as rows of the alert table, with id and creation time.
 
     The id is a hash of what identifies the line (all given columns), so that
-    detecting a line twice gives the same id. Newest-first order is by creation
+    detecting a line twice gives the same id; alerts that have an ``id`` keep it. Newest-first order is by creation
     time and id.
     """
-    identity = identity or [c for c in ("source", "file", "line_id", "event_ts", "raw_log") if c in alerts.columns]
     created = F.current_timestamp() if created_at is None else created_at
     return alerts.select(
-        F.xxhash64(*identity).alias("id"),
+        _id(alerts, identity or [c for c in ("source", "file", "line_id", "event_ts", "raw_log") if c in alerts.columns]),
         "timestamp",
         "event_type",
         "severity",
@@ -37,10 +38,15 @@ def alert_rows(alerts: DataFrame, created_at: Column | None = None, identity: li
         "sigma_rule_id",
         "sigma_rule_title",
         created.alias("created_at"),
+        *[c for c in alerts.columns if c == "amends"],
     )
 
 
-def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None = None) -> DataFrame:
+def _id(rows: DataFrame, identity: list[str] | None) -> Column:
+    return F.col("id") if "id" in rows.columns else F.xxhash64(*identity).alias("id")
+
+
+def live_rows(settled: DataFrame, identity: list[str] | None, created_at: Column | None = None) -> DataFrame:
     """One live-feed row per line of ``detect(..., keep_benign=True)``.
 
     Messages are whole lines; ``shown`` cuts them for display. Alert fields, the
@@ -49,7 +55,7 @@ def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None
     created = F.current_timestamp() if created_at is None else created_at
     is_alert = F.col("event_type").isNotNull()
     return settled.select(
-        F.xxhash64(*identity).alias("id"),
+        _id(settled, identity),
         F.col("ingest_ts").alias("timestamp"),
         "source",
         F.col("line").alias("message"),
@@ -59,6 +65,25 @@ def live_rows(settled: DataFrame, identity: list[str], created_at: Column | None
         "description",
         F.when(is_alert, F.col("source_ip")).alias("source_ip"),
         created.alias("created_at"),
+        *[c for c in settled.columns if c == "amends"],
+    )
+
+
+def agent_rows(settled: DataFrame, identity: list[str] | None = None) -> DataFrame:
+    """One live-feed row per entry that an agent sent, benign ones included; alert fields are null for these."""
+    return settled.select(
+        _id(settled, identity),
+        F.col("logged").alias("timestamp"),
+        "hostname",
+        "source",
+        F.col("line").alias("message"),
+        "agent_id",
+        F.col("event_type").isNotNull().alias("is_alert"),
+        "severity",
+        "event_type",
+        "description",
+        F.col("ingest_ts").alias("created_at"),
+        *[c for c in settled.columns if c == "amends"],
     )
 
 
@@ -67,32 +92,27 @@ def shown(feed: DataFrame) -> DataFrame:
     return feed.withColumn("message", text.cap_message(F.col("message")))
 
 
-def append(rows: DataFrame, path: str, batch: int | str = 0, cluster_by: tuple[str, ...] = ()) -> None:
-    """Write rows below ``path``, replacing earlier rows of the same day and batch.
+def append(rows: DataFrame, path: str, batch: int | str | None = None, cluster_by: tuple[str, ...] = ()) -> None:
+    """Add rows below ``path``.
 
+    A named ``batch`` replaces what it wrote before, so that it can run again; without a name the rows are a batch
+    of their own and nothing is replaced. Names must differ between writers, so they should contain the run's.
     Spark evens out the files of each day, cutting large days and joining small
     ones. Rows sorted by ``cluster_by`` let readers skip row groups by their
     minimum and maximum.
     """
-    dated = rows.withColumns({"dt": F.to_date("created_at"), "batch": F.lit(str(batch))})
+    dated = rows.withColumns({"dt": F.to_date("created_at"), "batch": F.lit(uuid.uuid4().hex if batch is None else str(batch))})
     dated = dated.hint("rebalance", "dt")
     if cluster_by:
         dated = dated.sortWithinPartitions("dt", *cluster_by)
     _overwrite_partitions(dated, path)
 
 
-def append_alerts(rows: DataFrame, path: str, batch: int | str = 0) -> None:
+def append_alerts(rows: DataFrame, path: str, batch: int | str | None = None) -> None:
     """Append alerts, clustered by the columns that filters use."""
     append(rows, path, batch, ("severity", "event_type", "source_ip"))
 
 
-def append_jdbc(rows: DataFrame, url: str, table: str = "alerts", **options) -> None:
-    """Append alerts to a database table, lists as JSON text."""
-    from duskwatch.sources.alerts import encode_alerts
-
-    encode_alerts(rows).drop("id").write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a table; ``dt`` stays, so that filters on it skip whole days."""
     return spark.read.parquet(path).drop("batch")
@@ -136,12 +156,6 @@ def _overwrite_partitions(rows: DataFrame, path: str) -> None:
     )
 
 
-def prune_live_logs(spark: SparkSession, path: str, keep: int = 500) -> None:
-    """Rewrite the live feed with its newest rows only."""
-    kept = stage(queries.newest_kept(spark.read.parquet(path), keep), "prune")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt", "batch").parquet(path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -13,9 +13,9 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AGENT_BATCH).json(path)
 
 
-def stream_batches(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of agent batches from a directory of JSON files."""
-    reader = spark.readStream.schema(schemas.AGENT_BATCH)
+def stream_batches(spark: SparkSession, path: str, max_files: int | None = None, others: str = "") -> DataFrame:
+    """Stream of agent batches from a directory of JSON files; ``others`` are further columns, as a schema."""
+    reader = spark.readStream.schema(", ".join(filter(None, [schemas.AGENT_BATCH, others])))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.json(path)

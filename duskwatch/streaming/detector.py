@@ -1,101 +1,65 @@
-"""Live detection: micro-batches of lines to alerts, live feed and outbox."""
+"""Live detection: streams of lines, or of agent batches, to alerts, feeds, receipts, registry and outbox."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from duskwatch import schemas
-from duskwatch.operators import bruteforce
+from duskwatch.operators import agents
 from duskwatch.operators.agents import merge_registry
-from duskwatch.operators.detect import DetectConfig, decide, is_counted, parsed_lines, uncounted
+from duskwatch.operators.detect import DetectConfig, decide, is_counted, parsed_lines
 from duskwatch.operators.parse import tagged
 from duskwatch.operators.rules import CompiledPack
 from duskwatch.session import stage
 from duskwatch.sinks import outbox, tables
+from duskwatch.sinks.store import Store, union
+from duskwatch.streaming import windows
 from duskwatch.streaming.state import BatchState
 
-IDENTITY = ["batch_id", "line_id"]
-_LINE = "source string, file string, line string, ingest_ts timestamp, batch_id bigint, line_id bigint, raw_log string"
-_PARSED = "source_ip string, event_ts timestamp, _failed boolean, _allowed boolean"
-
 
 @dataclass
 class Outputs:
-    """Where a live run writes. Tables without a path are not written."""
+    """Where a live run writes: tables of a ``Store`` below ``root``."""
 
-    alerts: str
-    live_logs: str | None = None
-    outbox: str | None = None
+    root: str
+    feed: bool = True
+    outbox: bool = False
 
+    def store(self, spark: SparkSession) -> Store:
+        """The tables."""
+        return Store(spark, self.root)
 
-class FailureCounter:
-    """Sliding-window counts of failed logins over micro-batches.
 
-    Failures are held until the watermark, the newest event time minus ``delay``
-    seconds, lies after them; then they are counted in event-time order, so failures
-    of one second that a batch border cuts apart still count together. Counts
-    are those of one batch over all lines, as long as none comes before the
-    watermark. ``close`` settles what is held at the end of a bounded run. The
-    state holds the failures of the last window and delay only.
-    """
+def run_id(spark: SparkSession, path: str) -> str:
+    """Name of the run whose state is at ``path``: given once, kept over restarts, different for every run."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.parquet(f"{path}/run")
+    return spark.read.schema("run string").parquet(f"{path}/run").first().run
 
-    def __init__(self, spark: SparkSession, path: str, row_schema: str, config: DetectConfig, delay: float, seq: list[str]):
-        self.rows = BatchState(spark, f"{path}/failures", f"{row_schema}, _settled boolean")
-        self.clock = BatchState(spark, f"{path}/clock", "watermark timestamp")
-        self.config, self.delay, self.seq = config, delay, seq
 
-    def process(self, failures: DataFrame, newest, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        """(counted failures that are settled now, failures too late to be counted).
+def counted_stream(lines: DataFrame, config: DetectConfig, keep: float | None) -> DataFrame:
+    """Parsed lines of a stream; failed logins come with ``attempts``, and again when their count changes.
 
-        ``failures`` is a stored table, ``newest`` the newest event time of the
-        batch, failures or not.
-        """
-        last = self.clock.before(batch_id).first()
-        last = last.watermark if last else None
-        before = self.rows.before(batch_id)
-        mark = None if newest is None else newest - _seconds(self.delay)
-        mark = max((m for m in (mark, last) if m is not None), default=None)
-
-        at = F.col("event_ts")
-        late = (at < F.lit(last)) if last is not None else F.lit(False)
-        held = before.unionByName(failures.where(~late).withColumn("_settled", F.lit(False)))
-        window = self.config.failed_login_window
-        settled_now = (at < F.lit(mark)) if mark is not None else F.lit(False)
-        counts = bruteforce.window_counts(held, seq=self.seq, window_seconds=window, staged=True)
-        counted = stage(counts, "counted")
-        ready = counted.where(settled_now & ~F.col("_settled")).drop("_settled")
-
-        kept = counted.drop("attempts")
-        if mark is not None:
-            kept = kept.where(at > F.lit(mark - _seconds(window))).withColumn("_settled", F.col("_settled") | settled_now)
-        self.rows.replace(kept, batch_id)
-        clock = failures.sparkSession.createDataFrame([] if mark is None else [(mark,)], "watermark timestamp")
-        self.clock.replace(clock, batch_id)
-        return ready, failures.where(late)
-
-    def close(self, batch_id: int) -> DataFrame:
-        """Settle the failures that are held after batch ``batch_id``; later batches may follow."""
-        held = self.rows.before(batch_id + 1)
-        counts = bruteforce.window_counts(held, seq=self.seq, window_seconds=self.config.failed_login_window)
-        counted = stage(counts, "counted")
-        self.rows.replace(counted.drop("attempts").withColumn("_settled", F.lit(True)), batch_id)
-        return counted.where(~F.col("_settled")).drop("_settled")
-
-
-def _seconds(value: float) -> timedelta:
-    return timedelta(seconds=value)
+    Only failed logins are dealt by source and time, all other lines stay where they are read.
+    """
+    parsed = parsed_lines(lines, config)
+    order = [c for c in config.seq if c in parsed.columns]
+    failures = windows.live_counts(parsed.where(is_counted()), order, config.failed_login_window, keep=keep)
+    return union([failures, parsed.where(~is_counted())])
 
 
 class LiveDetector:
-    """Detection over a stream of lines (columns source, file, line, ingest_ts).
+    """Detection over a stream of lines (columns source, file, line, ingest_ts and any others).
 
-    ``counters`` hold the lines settled and the alerts raised since the start of
-    this run; the query's progress reports the lines read as they come.
+    What a micro-batch adds to the tables becomes visible at once. A failed login that comes late raises
+    the counts of later ones; their alerts are then written again under their ids. ``counters`` hold the lines taken in and the alerts
+    raised since the start of this run.
     """
 
     def __init__(
@@ -105,74 +69,140 @@ class LiveDetector:
         outputs: Outputs,
         state_path: str,
         config: DetectConfig | None = None,
-        delay: float = 1,
         notify: dict | None = None,
     ):
-        self.pack, self.outputs = pack, outputs
+        self.spark, self.pack, self.outputs = spark, pack, outputs
         self.config = config or DetectConfig()
         self.notify = notify or {}
         self.counters = {"lines_processed": 0, "alerts_triggered": 0}
-        self.last_batch: int | None = None
-        self.counter = FailureCounter(spark, state_path, f"{_LINE}, {_PARSED}", self.config, delay, IDENTITY)
+        self.store = outputs.store(spark)
+        self.run = run_id(spark, state_path)
+
+    def start(self, lines: DataFrame, checkpoint: str, interval: str | None = None, keep: float | None = windows.KEEP_SECONDS) -> StreamingQuery:
+        """Run over the stream; without ``interval`` take in what is there and stop.
 
-    def start(self, lines: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-        """Run over the stream; without ``interval`` take in what is there and stop."""
+        ``keep`` bounds the state of a run with an ``interval``.
+        """
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
-        counted = lines.observe("lines", F.count(F.lit(1)).alias("lines_processed"))
         return (
-            counted.writeStream.foreachBatch(self.process)
+            counted_stream(self.prepared(lines), self.config, keep if interval else None)
+            .writeStream.foreachBatch(self.process)
+            .outputMode("update")
             .option("checkpointLocation", checkpoint)
             .trigger(**trigger)
             .start()
         )
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Write what a micro-batch of lines adds to the tables."""
-        columns = ["source", "file", "line", "ingest_ts"] + [c for c in batch.columns if c == "event_ts"]
-        numbered = batch.select(*columns).withColumns(
-            {"batch_id": F.lit(batch_id).cast("bigint"), "line_id": F.monotonically_increasing_id()}
-        )
-        parsed = stage(parsed_lines(tagged(numbered), self.config), "live-lines")
-        # a clock that is ahead must not move the watermark past what arrives now
-        newest = parsed.agg(F.max(F.least("event_ts", "ingest_ts")).alias("t")).first().t
-        ready, late = self.counter.process(parsed.where(is_counted()), newest, batch_id)
-        others = uncounted(late.unionByName(parsed.where(~is_counted())))
-        self._settle(ready.unionByName(others), batch_id)
-        self.last_batch = batch_id
+    def prepared(self, lines: DataFrame) -> DataFrame:
+        """Lines as detection takes them, with the text that it works on."""
+        return tagged(lines)
 
-    def finish(self) -> None:
-        """Report the failures still held once a bounded run has ended, so that it equals one batch."""
-        if self.last_batch is not None:
-            self._settle(self.counter.close(self.last_batch), f"{self.last_batch}-end")
-
-    def _settle(self, rows: DataFrame, batch_id: int | str) -> None:
-        settled = stage(decide(rows, self.pack, self.config, keep_benign=True), "live-settled")
-        self._write(settled, batch_id)
-        done = settled.agg(F.count(F.lit(1)).alias("lines"), F.count("event_type").alias("alerts")).first()
-        self.counters["lines_processed"] += done.lines
-        self.counters["alerts_triggered"] += done.alerts
-
-    def _write(self, settled: DataFrame, batch_id: int | str) -> None:
-        created = F.col("ingest_ts")
-        found = settled.where(F.col("event_type").isNotNull())
-        alerts = tables.alert_rows(found, created, IDENTITY)
-        writes = [lambda: tables.append_alerts(alerts, self.outputs.alerts, batch_id)]
-        if self.outputs.live_logs:
-            rows = tables.live_rows(settled, IDENTITY, created)
-            writes.append(lambda: tables.append(rows, self.outputs.live_logs, batch_id))
-        if self.outputs.outbox:
-            messages = outbox.outbox_rows(alerts, self.notify)
-            writes.append(lambda: tables.append(messages, self.outputs.outbox, batch_id))
-        # a channel that fails does not keep the others from their rows; the
-        # error then fails the batch, which is safe to run again
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        """Write what a micro-batch of counted lines adds to the tables."""
+        name = f"{self.run}-{batch_id}"
+        if self.store.committed(name):
+            return  # the run stopped between this and its checkpoint
+        settled = stage(self.settled(batch, batch_id), "live-settled")
+        writes = self.writes(settled)
+        # a channel that fails does not keep the others from their rows, but no reader sees any before all are there;
+        # the error then fails the batch, which is safe to run again
         errors = []
-        for write in writes:
+        for table, rows in writes.items():
             try:
-                write()
+                self.store.write(table, rows, name, batch_id)
             except Exception as exc:
                 errors.append(exc)
         if errors:
             raise errors[0]
+        new = F.col("line").isNotNull() & ~F.col("amends")
+        done = settled.agg(
+            F.count_if(new).alias("lines"), F.count_if(new & F.col("event_type").isNotNull()).alias("alerts"), F.count_if("amends").alias("amended")
+        ).first()
+        amended = [t for t, rows in writes.items() if done.amended and "amends" in rows.columns]
+        self.store.commit(name, add={table: [name] for table in writes}, amended=amended)
+        self.counters["lines_processed"] += done.lines
+        self.counters["alerts_triggered"] += done.alerts
+
+    def settled(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Alert of each line, with its id and whether it was reported before; ``raised``: it is an alert only now."""
+        place = F.monotonically_increasing_id()
+        counted = F.col("stretch").isNotNull()
+        identity = F.when(counted, F.xxhash64(F.lit(self.run), "source_ip", *windows.IDENTITY)).otherwise(F.xxhash64(F.lit(self.run), F.lit(batch_id), place))
+        least = self.config.max_failed_logins
+        raised = (F.col("attempts") >= least) & (F.col("before") < least)
+        named = batch.withColumns({"id": identity, "amends": F.col("before").isNotNull(), "raised": F.coalesce(raised, F.lit(False))})
+        return decide(named.drop(*windows.IDENTITY, "before"), self.pack, self.config, keep_benign=True)
+
+    def writes(self, settled: DataFrame) -> dict[str, DataFrame]:
+        """Rows of each table."""
+        found = settled.where(F.col("event_type").isNotNull())
+        out = {"alerts": self._alerts(found)}
+        if self.outputs.feed:
+            out["feed"] = tables.live_rows(settled, None, F.col("ingest_ts"))
+        if self.outputs.outbox:
+            told = found.where(~F.col("amends") | F.col("raised"))
+            out["outbox"] = outbox.outbox_rows(self._alerts(told).drop("amends"), self.notify)
+        return out
+
+    def _alerts(self, found: DataFrame) -> DataFrame:
+        return tables.alert_rows(found, F.col("ingest_ts"))
+
+
+class AgentIngest(LiveDetector):
+    """Detection over a stream of agent batches, with everything that comes of a batch in one pass.
+
+    Batches have agent_id, hostname, timestamp and logs, ``ingest_ts`` (arrival), and any other columns. Equal batches that
+    arrive together share their receipt's number of alerts. Of each batch come alerts (the host stands for an unknown address), a feed of all its entries, a receipt, and an event of the agents' registry, all
+    visible together.
+    """
+
+    def prepared(self, lines: DataFrame) -> DataFrame:
+        """One row per entry, and one per batch, without a line, that carries the batch's size.
+
+        Entries remember their batch by a number drawn from it, not by an agent's id, which may hold a third of all entries.
+        """
+        others = [c for c in lines.columns if c not in ("logs", "timestamp", "hostname")]
+        head = F.struct(F.lit(-1).alias("log_no"), F.lit(None).cast(lines.schema["logs"].dataType.elementType).alias("log"))
+        logs = F.coalesce("logs", F.array().cast(lines.schema["logs"].dataType))
+        entries = F.transform(logs, lambda e, i: F.struct(i.alias("log_no"), e.alias("log")))
+        size = F.size(logs).cast("bigint").alias("batch_size")
+        sent = F.xxhash64(F.to_json(F.struct(*[c for c in lines.columns if c != "logs"])), logs).alias("batch_key")
+        rows = lines.select(*others, F.col("hostname").alias("sender"), F.col("timestamp").alias("sent"), size, sent, F.inline(F.concat(F.array(head), entries)))
+        message = F.col("log.message")
+        # the row of the batch passes through parsing like a line
+        is_head = F.col("log_no") < 0
+        return rows.select(
+            *others, "sender", "sent", "batch_size", "batch_key", F.col("log_no").cast("bigint").alias("log_no"),
+            *(F.col(f"log.{c}").alias(c) for c in ("hostname", "source", "raw", "priority", "unit")),
+            F.col("log.timestamp").alias("logged"),
+            F.when(is_head, F.lit("-")).otherwise(message).alias("line"),
+            F.when(is_head, F.lit("-")).otherwise(message).alias("raw_log"),
+        )
+
+    def settled(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Alerts with the host in place of an unknown address; rows of batches have no line."""
+        found = agents.with_fallbacks(super().settled(batch, batch_id))
+        is_head = F.col("log_no") < 0
+        return found.withColumns({"line": F.when(~is_head, F.col("line")), "event_type": F.when(~is_head, F.col("event_type"))})
+
+    def writes(self, settled: DataFrame) -> dict[str, DataFrame]:
+        """Alerts and outbox as for lines; feed, receipts and registry of agents."""
+        entries = settled.where("line IS NOT NULL")
+        out = super().writes(entries)
+        out.pop("feed", None)
+        if self.outputs.feed:
+            out["agent_feed"] = tables.agent_rows(entries)
+        heads = settled.where("line IS NULL")
+        created = entries.where("event_type IS NOT NULL AND NOT amends").groupBy("batch_key").agg(F.count(F.lit(1)).alias("alerts"))
+        received = heads.select("id", "agent_id", "sender", "sent", "batch_size", "batch_key", "ingest_ts").join(created, "batch_key", "left")
+        out["receipts"] = received.select(
+            "id", "agent_id", "sent", F.col("batch_size").alias("logs_processed"), F.coalesce("alerts", F.lit(0)).alias("alerts_created"), F.col("ingest_ts").alias("created_at")
+        )
+        out["registry_events"] = heads.select(
+            "id", "agent_id", F.col("sender").alias("hostname"), F.col("ingest_ts").alias("ts"), F.lit(False).alias("registered"),
+            F.lit(None).cast("string").alias("metadata"), F.col("batch_size").alias("n"), F.col("ingest_ts").alias("created_at"),
+        )
+        return out
 
 
 class RegistryUpdater:

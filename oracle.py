@@ -185,6 +185,7 @@ def statements() -> dict[str, str]:
     doc_alerts = f"(SELECT * FROM {doc_best} JOIN {LINES} USING (doc_id, line_no))"
     page = "ORDER BY created_at DESC, id DESC LIMIT"
     live_prefix = "'[events] ' || line"
+    turn_best = pack.best(TURN_LINES, "conv_id, turn, log_no", "message")
     sql = {
         "log_line_split": f"SELECT * FROM {LINES}",
         "extract_source_ip": f"SELECT doc_id, line_no, CASE WHEN regexp_extract(line, '{IPV4}') = '' THEN 'UNKNOWN' ELSE regexp_extract(line, '{IPV4}') END AS source_ip FROM {LINES}",
@@ -335,6 +336,30 @@ def statements() -> dict[str, str]:
         "stream_brute_force": f"SELECT event_id, ip AS source_ip, {window_count('ip', 'us', 'event_id')} AS attempts FROM {failures}",
         "stream_detect": f"SELECT event_type, severity, source_ip, description, raw AS raw_log FROM {detected(pack, live_prefix)}",
         "stream_registry": _registry(),
+        "stream_agent_ingest": (
+            "SELECT event_type, severity, "
+            f"CASE WHEN regexp_extract(message, '{IPV4}') = '' THEN hostname ELSE regexp_extract(message, '{IPV4}') END AS source_ip, message AS raw_log "
+            f"FROM {turn_best} JOIN {TURN_LINES} USING (conv_id, turn, log_no)"
+        ),
+        "agent_live_feed": (
+            "SELECT agent_id, hostname, role AS source, l.message, b.event_type IS NOT NULL AS is_alert, b.severity, b.event_type, b.rule_description AS description "
+            f"FROM {TURN_LINES} l LEFT JOIN {turn_best} b USING (conv_id, turn, log_no)"
+        ),
+        "stream_agent_receipts": (
+            f"WITH s AS (SELECT t.*, coalesce(n, 0) AS logs_processed, coalesce(a, 0) AS alerts_created FROM {TURNS} t "
+            f"LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM {TURN_LINES} GROUP BY ALL) USING (conv_id, turn) "
+            f"LEFT JOIN (SELECT conv_id, turn, count(*) AS a FROM {turn_best} GROUP BY ALL) USING (conv_id, turn)) "
+            "SELECT conv_id || ':' || turn AS batch, agent_id, logs_processed, alerts_created, "
+            f"CAST(sum(logs_processed) OVER a AS BIGINT) AS agent_logs, {stamp('max(ts) OVER a', 'last_seen')} FROM s WINDOW a AS (PARTITION BY agent_id)"
+        ),
+        "live_table": (
+            "SELECT l.line_id AS id, l.line AS message, f.line_id IS NOT NULL AS is_alert, f.severity, f.event_type "
+            f"FROM (SELECT * FROM {EVENT_LOG} ORDER BY ts DESC, line_id DESC LIMIT 500) l LEFT JOIN {found} f USING (line_id)"
+        ),
+        "store_compacted": (
+            "SELECT id, CASE WHEN id % 100 = 0 THEN 'EMERGENCY' ELSE severity END AS severity, source_ip, strftime(created_at, '%Y-%m-%d') AS dt "
+            f"FROM {ALERTS} WHERE created_at >= {NOW} - INTERVAL 10 DAY"
+        ),
         "alert_store": f"SELECT strftime(ts, '%Y-%m-%d') AS dt, severity, count(*) AS count, count(*) AS ids FROM {found} GROUP BY ALL",
         "store_retention": f"SELECT id FROM {ALERTS} WHERE created_at >= {NOW} - INTERVAL 10 DAY",
     }
