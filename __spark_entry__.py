@@ -231,17 +231,18 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of five files, taken in one by one.
+    """The events table as a stream of 40 files, taken in sixteen at a time.
 
-    Files follow each other in time, but the events of every third user lag by a file, and some of all others come with the first or the last file.
+    There are eight files of each of five stretches of time, in which the events of every third user lag by a stretch and some of all
+    others lie in the first or the last. Files come in no order, so rows are late by days.
     """
     events = table(spark, sf_dir, "events")
     day = F.dayofyear(F.col("ts").cast("timestamp"))
     place = F.least(F.floor(day / 8), F.lit(3)) + F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)
     file = F.when(F.col("event_id") % 17 == 0, 4).when(F.col("event_id") % 19 == 0, 0).otherwise(place)
     path = run_dir(spark, "events")
-    events.withColumn("part", file).repartition(5, "part").write.partitionBy("part").parquet(path)
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true")
+    events.withColumn("part", file).repartition(8).write.partitionBy("part").parquet(path)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "16").option("recursiveFileLookup", "true")
     return reader.parquet(path)
 
 
@@ -801,7 +802,7 @@ def stream_brute_force(spark, sf_dir):
 @query
 def stream_detect(spark, sf_dir):
     path = run_dir(spark, "detect")
-    live = LiveDetector(spark, builtin_pack(spark), Outputs(f"{path}/out"), f"{path}/state", event_config())
+    live = LiveDetector(spark, builtin_pack(spark), Outputs(f"{path}/out", feed=False), f"{path}/state", event_config())
     live.start(event_log(event_stream(spark, sf_dir)), f"{path}/checkpoint").awaitTermination()
     return live.store.read("alerts").select("event_type", "severity", "source_ip", "description", "raw_log")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -102,7 +102,16 @@ class LiveDetector:
         name = f"{self.run}-{batch_id}"
         if self.store.committed(name):
             return  # the run stopped between this and its checkpoint
-        settled = stage(self.settled(batch, batch_id), "live-settled")
+        new = F.col("line").isNotNull() & ~F.col("amends")
+        watch = Observation()
+        settled = self.settled(batch, batch_id).observe(
+            watch,
+            F.count_if(new).alias("lines"),
+            F.count_if(new & F.col("event_type").isNotNull()).alias("alerts"),
+            F.count_if("amends").alias("amended"),
+        )
+        settled = stage(settled, "live-settled")
+        done = watch.get
         writes = self.writes(settled)
         # a channel that fails does not keep the others from their rows, but no reader sees any before all are there;
         # the error then fails the batch, which is safe to run again
@@ -114,14 +123,10 @@ class LiveDetector:
                 errors.append(exc)
         if errors:
             raise errors[0]
-        new = F.col("line").isNotNull() & ~F.col("amends")
-        done = settled.agg(
-            F.count_if(new).alias("lines"), F.count_if(new & F.col("event_type").isNotNull()).alias("alerts"), F.count_if("amends").alias("amended")
-        ).first()
-        amended = [t for t, rows in writes.items() if done.amended and "amends" in rows.columns]
+        amended = [t for t, rows in writes.items() if done["amended"] and "amends" in rows.columns]
         self.store.commit(name, add={table: [name] for table in writes}, amended=amended)
-        self.counters["lines_processed"] += done.lines
-        self.counters["alerts_triggered"] += done.alerts
+        self.counters["lines_processed"] += done["lines"]
+        self.counters["alerts_triggered"] += done["alerts"]
 
     def settled(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Alert of each line, with its id and whether it was reported before; ``raised``: it is an alert only now."""

@@ -14,9 +14,11 @@ takes in what is there and stops (``keep`` of None) forgets nothing, as times of
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +26,9 @@ from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from duskwatch.operators.bruteforce import WINDOW_SECONDS
 
+# the processor travels by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Seconds after its arrival for which a failure takes part in the counts of a run that goes on.
 KEEP_SECONDS = 86400
 #: Windows in a stretch of time.
