@@ -168,6 +168,9 @@ CONDITIONS = {
     "rule_condition_one_of_them": "1 of them",
     "rule_condition_and": "words and sel_b",
     "rule_condition_or": "sel_a or sel_b | all",
+    "rule_condition_all_of_named": "all of sel*",
+    # no group has this name, so the first one that begins with it counts
+    "rule_condition_group_prefix": "sel_ | all",
 }
 CONDITION_GROUPS = {"words": ["the", "tion"], "sel_a": ["euxp", "onan"], "sel_b": ["ción", "und", "que", "ent"]}
 
@@ -271,8 +274,7 @@ def extract_source_ip(spark, sf_dir):
 
 @query
 def extract_user(spark, sf_dir):
-    found = F.regexp_extract("line", r"(?:for|user)\s+([A-Za-z0-9_]+)", 1)
-    return doc_lines(spark, sf_dir).select("doc_id", "line_no", F.when(found != "", found).alias("user"))
+    return doc_lines(spark, sf_dir).select("doc_id", "line_no", text.user(F.col("line")).alias("user"))
 
 
 @query
@@ -312,8 +314,28 @@ def multi_source_union(spark, sf_dir):
 
 @query
 def syslog_facility(spark, sf_dir):
-    lines = event_log(table(spark, sf_dir, "events"))
-    return lines.where(F.col("line").contains("sshd")).select("line_id", "line")
+    return logfiles.of_facility(event_log(table(spark, sf_dir, "events")), "sshd").select("line_id", "line")
+
+
+@query
+def stream_syslog(spark, sf_dir):
+    path = run_dir(spark, "syslog")
+    event_log(table(spark, sf_dir, "events")).select("line").repartition(12).write.text(f"{path}/in")
+    lines = logfiles.stream_syslog(spark, f"{path}/in", "sshd", max_files=4)
+    return _drain(spark, lines.select("source", "line"), "syslog")
+
+
+@query
+def stream_journal_detect(spark, sf_dir):
+    path = run_dir(spark, "journal")
+    at = F.unix_micros(F.date_trunc("second", F.col("ingest_ts"))).cast("string")
+    record = F.to_json(F.struct(F.col("line").alias("MESSAGE"), F.lit("3").alias("PRIORITY"), F.lit("sshd.service").alias("_SYSTEMD_UNIT"), at.alias("__REALTIME_TIMESTAMP")))
+    event_log(table(spark, sf_dir, "events")).select(record).repartition(24).write.text(f"{path}/in")
+    # entries in no order, of which each file holds some of every day
+    stream = journal.stream_journal(spark, f"{path}/in", "sshd.service", max_files=8)
+    live = LiveDetector(spark, builtin_pack(spark), Outputs(f"{path}/out", feed=False), f"{path}/state", event_config())
+    live.start(stream, f"{path}/checkpoint").awaitTermination()
+    return live.store.read("alerts").select("event_type", "severity", "source_ip", "description", "raw_log")
 
 
 @query
@@ -733,8 +755,7 @@ def json_lists(spark, sf_dir):
 @query
 def alert_dict(spark, sf_dir):
     found = detected(spark, sf_dir)
-    fields = F.struct(display.iso_time(F.col("timestamp")).alias("timestamp"), "event_type", "source_ip", "description", "severity", "abuse_confidence_score", "matched_keywords", "mitre_techniques")
-    return found.select("line_id", F.to_json(fields).alias("body"))
+    return found.select("line_id", F.to_json(display.alert_fields()).alias("body"))
 
 
 @query

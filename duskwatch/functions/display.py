@@ -54,6 +54,15 @@ def iso_time(timestamp: Column) -> Column:
     return F.when(micros.endswith(".000000"), whole).otherwise(micros)
 
 
+def alert_fields() -> Column:
+    """A detected alert as one struct of all its fields, as it goes to storage and over the wire."""
+    names = (
+        "event_type", "source_ip", "description", "severity", "raw_log", "abuse_confidence_score", "sigma_rule_id", "sigma_rule_title",
+        "matched_keywords", "false_positives", "mitre_tactics", "mitre_techniques",
+    )
+    return F.struct(iso_time(F.col("timestamp")).alias("timestamp"), *names)
+
+
 def _field(name: str, value: Column, inline: bool) -> Column:
     return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(inline).alias("inline"))
 

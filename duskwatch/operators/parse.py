@@ -36,14 +36,3 @@ def tagged(lines: DataFrame, source: str = "source", line: str = "line", out: st
     """Add the line with its source tag, the text that live detection works on."""
     return lines.withColumn(out, text.tag_source(F.col(source), F.col(line)))
 
-
-def event_struct(line: Column, ingest_ts: Column) -> Column:
-    """A line's event as one struct."""
-    return F.struct(
-        text.syslog_time(line, ingest_ts).alias("timestamp"),
-        line.alias("raw_line"),
-        text.source_ip(line).alias("source_ip"),
-        text.user(line).alias("user"),
-        F.lit("").alias("action"),
-        F.lit("INFO").alias("severity"),
-    )

@@ -89,24 +89,12 @@ def _stream_lines(raw: DataFrame, source: Column) -> DataFrame:
 def stream_syslog(spark: SparkSession, path: str, facility: str | None = None, **options) -> DataFrame:
     """Stream of syslog lines, restricted to those that contain ``facility`` as written."""
     lines = stream_log_files(spark, path, "syslog", **options)
-    return lines.where(F.col("line").contains(facility)) if facility else lines
+    return of_facility(lines, facility)
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, source: str = "kafka", **options) -> DataFrame:
-    """Stream of lines from a topic; needs Spark's Kafka package."""
-    raw = (
-        spark.readStream.format("kafka")
-        .options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, **options})
-        .load()
-    )
-    pieces = raw.select(
-        F.concat_ws("/", "topic", F.col("partition").cast("string")).alias("file"),
-        F.col("timestamp").alias("ingest_ts"),
-        F.explode_outer(text.split_lines(text.drop_invalid_utf8(F.col("value").cast("string")))).alias("_raw"),
-    )
-    return pieces.select(
-        F.lit(source).alias("source"), "file", text.strip(F.col("_raw")).alias("line"), "ingest_ts"
-    ).where(F.length("line") > 0)
+def of_facility(lines: DataFrame, facility: str | None) -> DataFrame:
+    """Lines that contain ``facility`` as written; all lines without one."""
+    return lines.where(F.col("line").contains(facility)) if facility else lines
 
 
 def union_sources(spark: SparkSession, sources: list[DataFrame | None]) -> DataFrame:

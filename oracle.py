@@ -72,7 +72,7 @@ class Pack:
     """The shipped rules as SQL: a table of rules and one of hits."""
 
     def __init__(self) -> None:
-        self.rules, self.literals, self.regexes = [], [], []
+        self.rules, self.literals, self.regexes, self.notes = [], [], [], []
         for idx, path in enumerate(sorted((Path(__file__).parent / "duskwatch" / "rules").glob("*.yml"))):
             rule = yaml.safe_load(path.read_text())
             severity, rank = LEVELS[rule["level"]]
@@ -81,6 +81,7 @@ class Pack:
             techniques = [n.upper() for n in names if n[0] == "t" and n[1].isdigit()]
             slug = "".join(c if c.isascii() and c.isalnum() else " " for c in rule["title"].upper())
             self.rules.append((idx, rule["title"], rule["description"], severity, rank, "_".join(slug.split()), "|".join(tactics), "|".join(techniques)))
+            self.notes.append((rule["title"], rule["id"], "|".join(rule["falsepositives"])))
             for ord_, term in enumerate(rule["detection"]["keywords"]):
                 term = term.strip()
                 regex = bool(REGEX_HINT.search(term)) and term not in UNCOMPILABLE
@@ -185,6 +186,7 @@ def statements() -> dict[str, str]:
     doc_alerts = f"(SELECT * FROM {doc_best} JOIN {LINES} USING (doc_id, line_no))"
     page = "ORDER BY created_at DESC, id DESC LIMIT"
     live_prefix = "'[events] ' || line"
+    journal_prefix = "'[journalctl] ' || line"
     turn_best = pack.best(TURN_LINES, "conv_id, turn, log_no", "message")
     sql = {
         "log_line_split": f"SELECT * FROM {LINES}",
@@ -215,6 +217,8 @@ def statements() -> dict[str, str]:
             "SELECT doc_id, line_no, CASE WHEN words_n > 0 THEN words WHEN sel_a_n > 0 THEN sel_a ELSE sel_b END AS matched_keywords "
             f"FROM {WORDS} WHERE words_n > 0 OR sel_a_n > 0 OR sel_b_n > 0"
         ),
+        "rule_condition_all_of_named": condition("sel_a_n > 0 AND sel_b_n > 0", ["sel_a", "'|'", "sel_b"]),
+        "rule_condition_group_prefix": condition("sel_a_n = 2", ["sel_a"]),
         "rule_condition_and": condition("words_n > 0 AND sel_b_n > 0", ["words", "'|'", "sel_b"]),
         "rule_condition_or": f"SELECT doc_id, line_no, CASE WHEN sel_a_n > 0 THEN sel_a ELSE sel_b END AS matched_keywords FROM {WORDS} WHERE sel_a_n > 0 OR sel_b_n = 4",
         "matched_keywords": _matched_keywords(),
@@ -328,9 +332,11 @@ def statements() -> dict[str, str]:
             "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN '[]' ELSE '[\"' || event_type || '\",\"x\\\"y\"]' END AS stored, '[]' AS missing, "
             "CASE WHEN event_id % 5 < 2 THEN '' ELSE event_type || '|x\"y' END AS matched_keywords FROM events"
         ),
-        "alert_dict": _alert_dict(found),
+        "alert_dict": _alert_dict(pack, found),
         "notification_payload": _payload(),
         "stale_drop": "SELECT event_id FROM events WHERE event_id % 601 <= 300",
+        "stream_syslog": f"SELECT 'syslog' AS source, line FROM {EVENT_LOG} WHERE contains(line, 'sshd')",
+        "stream_journal_detect": f"SELECT event_type, severity, source_ip, description, raw AS raw_log FROM {detected(pack, journal_prefix)}",
         "stream_stale_drop": "SELECT event_id FROM events WHERE event_id % 601 <= 300",
         "stream_dedupe": f"SELECT DISTINCT user_id, event_type, {stamp('ts', 'event_ts')} FROM events",
         "stream_brute_force": f"SELECT event_id, ip AS source_ip, {window_count('ip', 'us', 'event_id')} AS attempts FROM {failures}",
@@ -414,11 +420,19 @@ def _json_list(column: str) -> str:
     return f"CASE WHEN {column} = '' THEN '[]' ELSE '[\"' || replace({escaped}, '|', '\",\"') || '\"]' END"
 
 
-def _alert_dict(found: str) -> str:
+def _alert_dict(pack: Pack, found: str) -> str:
+    notes = ", ".join(f"({quote(title)}, {quote(rule_id)}, {quote(cases)})" for title, rule_id, cases in pack.notes)
+    texts = {
+        "event_type": "event_type", "source_ip": "source_ip", "description": "description", "severity": "severity", "raw_log": "raw",
+    }
+    lists = ("matched_keywords", "false_positives", "mitre_tactics", "mitre_techniques")
+    body = [f"'\"{name}\":' || to_json({column})::VARCHAR" for name, column in texts.items()]
+    body.append("'\"abuse_confidence_score\":0,\"sigma_rule_id\":' || to_json(coalesce(rule_id, ''))::VARCHAR || ',\"sigma_rule_title\":' || to_json(sigma_rule_title)::VARCHAR")
+    body += [f"'\"{name}\":' || {_json_list(name)}" for name in lists]
+    joined = " || ',' || ".join(body)
     return (
-        "SELECT line_id, '{\"timestamp\":\"' || strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || '\",\"event_type\":\"' || event_type || '\",\"source_ip\":\"' || source_ip "
-        "|| '\",\"description\":\"' || description || '\",\"severity\":\"' || severity || '\",\"abuse_confidence_score\":0,\"matched_keywords\":' "
-        f"|| {_json_list('matched_keywords')} || ',\"mitre_techniques\":' || {_json_list('mitre_techniques')} || '}}' AS body FROM {found}"
+        f"SELECT line_id, '{{\"timestamp\":\"' || strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || '\",' || {joined} || '}}' AS body "
+        f"FROM (SELECT f.*, rule_id, coalesce(cases, '') AS false_positives FROM {found} f LEFT JOIN (VALUES {notes}) AS v(title, rule_id, cases) ON title = sigma_rule_title AND event_type <> 'BRUTE_FORCE')"
     )
 
 
