@@ -27,15 +27,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm import store
-from duskwatch.llm.words import Sequence, inside, mix, signed, slices, word_hashes
+from duskwatch.llm.words import Sequence, inside, mix, signed, word_hashes
 
 #: Words of a minimizer, as a share of the window's; shorter ones give longer paths but repeat by chance.
 SHARE = 0.4
+#: Characters of the texts that a task works on at a time, and paths that it opens at a time.
+LIMIT, PATHS = 1 << 20, 4096
 _PATHS = "_id long, _hash long, m long, u long, at int, n int"
 _EDGES = "_id long, _hash long, m long, e long, at int"
 
@@ -74,18 +77,32 @@ def paths_of(texts: list, k: int):
     return owner, value[anchor[first]], seq.span(at, at + length + k - 1), at, length, seq, counts
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of about LIMIT characters, with their texts."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+    begin, size = 0, 0
+    for i, n in enumerate([*lengths.tolist(), LIMIT + 1]):
+        if i > begin and size + n > LIMIT:
+            part = batch.slice(begin, i - begin)
+            yield part, part.column("_text").to_pylist()
+            begin, size = i, 0
+        size += n
+
+
+def _rows(part: pa.RecordBatch, owner: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Keys of the texts that ``owner`` names, beside further columns. Ids stay in Arrow, which has nulls for whole numbers."""
+    at = pa.array(owner, pa.int64())
+    arrays = [part.column("_id").take(at), part.column("_hash").take(at), *(pa.array(x) for x in columns.values())]
+    return pa.RecordBatch.from_arrays(arrays, names=["_id", "_hash", *columns])
+
+
 def _scan(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["_text"].array
-            for a, b in slices(texts):
-                owner, m, u, at, length, _, counts = paths_of(list(texts[a:b]), k)
+            for part, texts in _texts(batch):
+                owner, m, u, at, length, _, counts = paths_of(texts, k)
                 begin = np.cumsum(counts) - counts
-                rows = batch.iloc[a:b].iloc[owner]
-                yield pd.DataFrame(
-                    {"_id": rows["_id"].array, "_hash": rows["_hash"].array, "m": signed(m), "u": signed(u),
-                     "at": (at - begin[owner]).astype(np.int32), "n": length.astype(np.int32)}
-                )
+                yield _rows(part, owner, m=signed(m), u=signed(u), at=(at - begin[owner]).astype(np.int32), n=length.astype(np.int32))
 
     return run
 
@@ -93,21 +110,20 @@ def _scan(k: int):
 def _open(k: int):
     """The edges of the paths that a text's ``open`` array names by their first window."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["_text"].array
-            for a, b in slices(texts):
-                owner, m, _, at, length, seq, counts = paths_of(list(texts[a:b]), k)
+            for part, texts in _texts(batch):
+                owner, m, _, at, length, seq, counts = paths_of(texts, k)
                 begin = np.cumsum(counts) - counts
-                wanted = [begin[i] + np.asarray(x, np.int64) for i, x in enumerate(batch["_open"].array[a:b])]
-                pick = np.flatnonzero(np.isin(at, np.concatenate(wanted))) if len(at) else np.zeros(0, np.int64)
-                edge = np.repeat(at[pick] - np.cumsum(length[pick]) + length[pick], length[pick]) + np.arange(length[pick].sum())
-                who = np.repeat(owner[pick], length[pick])
-                rows = batch.iloc[a:b].iloc[who]
-                yield pd.DataFrame(
-                    {"_id": rows["_id"].array, "_hash": rows["_hash"].array, "m": signed(np.repeat(m[pick], length[pick])),
-                     "e": signed(seq.span(edge, edge + k)), "at": (edge - begin[who]).astype(np.int32)}
-                )
+                named = part.column("_open")
+                wanted = np.repeat(begin, pc.list_value_length(named).to_numpy(zero_copy_only=False)) + named.flatten().to_numpy(zero_copy_only=False)
+                pick = np.flatnonzero(np.isin(at, wanted))
+                # a few paths at a time, as each has up to a window's edges
+                for some in np.array_split(pick, max(1, len(pick) // PATHS)):
+                    many = length[some]
+                    edge = np.repeat(at[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    who = np.repeat(owner[some], many)
+                    yield _rows(part, who, m=signed(np.repeat(m[some], many)), e=signed(seq.span(edge, edge + k)), at=(edge - begin[who]).astype(np.int32))
 
     return run
 
@@ -115,39 +131,46 @@ def _open(k: int):
 def _merged(k: int):
     """Ranges of words that a text's runs of windows cover, as begin and end of each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for hits in batch["_hits"]:
+            for hits in batch.column("_hits"):
                 spans: list[int] = []
-                for at, n in sorted((h["at"], h["n"]) for h in hits):
+                for at, n in sorted((h["at"], h["n"]) for h in hits.as_py()):
                     end = at + n + k - 1
                     if spans and at <= spans[-1]:
                         spans[-1] = max(end, spans[-1])
                     else:
                         spans += [at, end]
                 out.append(np.array(spans, np.int32).tobytes())
-            yield batch[["_id", "_hash"]].assign(_hits=out)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(out, pa.binary())], names=["_id", "_hash", "_hits"])
 
     return run
 
 
 def _remove():
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kept text and removed spans beside all other columns, which stay in Arrow as they are."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = (pa.int64(), pa.int64(), pa.string(), span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["_text"].array, 1 << 24):
-                out = []
-                for text, hits in zip(batch["_text"].array[a:b], batch["_hits"].array[a:b], strict=True):
-                    words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+            for part, texts in _texts(batch):
+                out: list = [[], [], [], []]
+                for text, hits in zip(texts, part.column("_hits").to_pylist(), strict=True):
+                    words = text.encode().split() if text is not None else []
                     spans = np.frombuffer(hits, np.int32).reshape(-1, 2).tolist() if hits is not None else []
                     kept, last = [], 0
                     for begin, end in spans:
                         kept += words[last:begin]
                         last = end
                     kept += words[last:]
-                    out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"), [tuple(s) for s in spans]))
-                frame = pd.DataFrame(out, columns=["_n_words", "_n_removed", "_kept", "_spans"])
-                yield pd.concat([batch.iloc[a:b].drop(columns=["_hits"]).reset_index(drop=True), frame], axis=1)
+                    row = (len(words), len(words) - len(kept), b" ".join(kept).decode(), [{"start": x, "end": y} for x, y in spans])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                names = [c for c in part.schema.names if c != "_hits"]
+                arrays = [*(part.column(c) for c in names), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_n_words", "_n_removed", "_kept", "_spans"])
 
     return run
 
@@ -160,7 +183,7 @@ def _attach(docs: DataFrame, side: store.Kept, column: str, how: str) -> DataFra
 
 def repeated(docs: DataFrame, k: int) -> DataFrame:
     """``_id, _hash, at, n``: runs of windows, by document, whose words also start elsewhere. ``docs`` has ``_id, _hash, _text``."""
-    paths = store.keep(docs.mapInPandas(_scan(k), _PATHS), "debruijn-paths").df
+    paths = store.keep(docs.mapInArrow(_scan(k), _PATHS), "debruijn-paths").df
     anchors = paths.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("x"), F.max("u").alias("y")).where("c > 1")
     anchors = store.keep(anchors.select("m", (F.col("x") == F.col("y")).alias("pure")), "debruijn-anchors")
     met = store.keep(paths.join(anchors.df, "m").select("_id", "_hash", "at", "n", "pure"), "debruijn-met")
@@ -168,7 +191,7 @@ def repeated(docs: DataFrame, k: int) -> DataFrame:
     todo = store.keep(
         met.df.where("NOT pure").select("_id", "_hash", "at").distinct().groupBy("_id", "_hash").agg(F.collect_list("at").alias("_open")), "debruijn-open"
     )
-    edges = store.keep(_attach(docs, todo, "_open", "inner").mapInPandas(_open(k), _EDGES), "debruijn-edges")
+    edges = store.keep(_attach(docs, todo, "_open", "inner").mapInArrow(_open(k), _EDGES), "debruijn-edges")
     often = edges.df.groupBy("m", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "e")
     single = edges.df.join(often, ["m", "e"], "left_semi").select("_id", "_hash", "at", F.lit(1).alias("n"))
     return whole.union(single)
@@ -181,10 +204,10 @@ def _removed(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"), *named)
     hits = repeated(keyed.select("_id", "_hash", "_text"), k).distinct()
     hits = hits.groupBy("_id", "_hash").agg(F.collect_list(F.struct("at", "n")).alias("_hits"))
-    hits = store.keep(hits.mapInPandas(_merged(k), "_id long, _hash long, _hits binary"), "debruijn-hits")
+    hits = store.keep(hits.mapInArrow(_merged(k), "_id long, _hash long, _hits binary"), "debruijn-hits")
     joined = _attach(keyed, hits, "_hits", "left")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "_hits")
-    return joined.mapInPandas(_remove(), kinds + ", _n_words long, _n_removed long, _kept string, _spans array<struct<start: int, end: int>>")
+    return joined.mapInArrow(_remove(), kinds + ", _n_words long, _n_removed long, _kept string, _spans array<struct<start: int, end: int>>")
 
 
 def dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

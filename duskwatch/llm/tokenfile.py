@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.llm import store
 from duskwatch.llm.units import units
+from duskwatch.llm.words import slices
 from duskwatch.session import shared_dir
 
 MANIFEST = "part int, path string, width int, n_docs long, n_null long, n_tokens long"
@@ -126,14 +127,12 @@ def _open(path: str):
 
 def _write(folder: str, vocabulary: Callable[[], str] | str, end: int, part_of: Callable[[], int], added: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from duskwatch.llm.words import slices
-
         encoder = WordEncoder(vocabulary, added)
         tail = np.array([end], f"<u{encoder.width}").tobytes()
         files, at = None, folder.rstrip("/") + f"/part-{part_of():05d}-{uuid.uuid4().hex}"
         offsets, n, nulls = 0, 0, 0
         for batch in batches:
-            ids, texts = batch["_id"], [t if isinstance(t, str) else "" for t in batch["_text"].array]
+            texts = [t if isinstance(t, str) else "" for t in batch["_text"].array]
             if files is None:
                 system, base = _open(folder)
                 system.create_dir(base, recursive=True)
@@ -144,9 +143,9 @@ def _write(folder: str, vocabulary: Callable[[], str] | str, end: int, part_of:
                     files[0].write(data + tail)
                     files[1].write(np.array([offsets], "<u8").tobytes())
                     offsets += len(data) // encoder.width + 1
-            files[2].write(ids.fillna(0).to_numpy("<i8").tobytes())
+            files[2].write(batch["_id"].to_numpy("<i8").tobytes())
             n += len(batch)
-            nulls += int(ids.isna().sum())
+            nulls += int(batch["_none"].sum())
         if files is not None:
             files[1].write(np.array([offsets], "<u8").tobytes())
             for f in files:
@@ -171,6 +170,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     ranged = rows.repartitionByRange(store.splits(rows), F.col("_id")).sortWithinPartitions("_id", F.xxhash64("_text"))
+    # pandas would turn ids beside a null into doubles
+    ranged = ranged.select(F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_none"), "_text")
     folder = f"{shared_dir(spark)}/llm/tokens-{uuid.uuid4().hex}"
     manifest = store.keep(ranged.mapInPandas(_write(folder, vocabulary, end, _part, added), MANIFEST), "token-manifest").df
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
