@@ -156,6 +156,12 @@ def _overwrite_partitions(rows: DataFrame, path: str) -> None:
     )
 
 
+def prune_live_logs(spark: SparkSession, path: str, keep: int = 500) -> None:
+    """Rewrite a feed that nobody writes to with its newest rows only; ``Store.prune`` works beside running writers."""
+    kept = stage(queries.newest_kept(spark.read.parquet(path), keep), "prune")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt", "batch").parquet(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
