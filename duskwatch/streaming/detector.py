@@ -130,9 +130,10 @@ class LiveDetector:
 
     def settled(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Alert of each line, with its id and whether it was reported before; ``raised``: it is an alert only now."""
+        # text literals are no part of generated code, so that of the first batch serves all
         place = F.monotonically_increasing_id()
         counted = F.col("stretch").isNotNull()
-        identity = F.when(counted, F.xxhash64(F.lit(self.run), "source_ip", *windows.IDENTITY)).otherwise(F.xxhash64(F.lit(self.run), F.lit(batch_id), place))
+        identity = F.when(counted, F.xxhash64(F.lit(self.run), "source_ip", *windows.IDENTITY)).otherwise(F.xxhash64(F.lit(f"{self.run}-{batch_id}"), place))
         least = self.config.max_failed_logins
         raised = (F.col("attempts") >= least) & (F.col("before") < least)
         named = batch.withColumns({"id": identity, "amends": F.col("before").isNotNull(), "raised": F.coalesce(raised, F.lit(False))})
