@@ -144,8 +144,9 @@ def _assemble(tokens: list[bytes]):
                 ids = flat[gather(begin[mine], lengths[mine])]
                 decoded = token_bytes[gather(token_start[ids], token_length[ids])]
                 out.append((i if has else None, len(ids), ids.astype("<u4").tobytes(), decoded.tobytes()))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "decoded"])
-        return frame.astype({"doc_id": "Int64"})
+        frame = pd.DataFrame([row[1:] for row in out], columns=["n_tokens", "ids", "decoded"])
+        frame.insert(0, "doc_id", pd.array([row[0] for row in out], "Int64"))
+        return frame
 
     return run
 
@@ -158,7 +159,8 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
         tokens[i] = token
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    # ids cross pandas as text: beside a null it would turn whole numbers into rounded doubles
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), F.col(text_col).alias("_text"))
     buckets = max(16, 2 * store.splits(rows))
     parts = store.bucketed(rows.mapInPandas(_explode(buckets), _PARTS), "bpe", "block", buckets)
     replies = parts.where("bucket >= 0").groupBy("bucket").applyInPandas(_encode_bucket(ranks, pattern), _PARTS)

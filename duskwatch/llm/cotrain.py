@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm import store
+from duskwatch.llm.arrow import beside, parts
 from duskwatch.llm.words import mix, slices, word_hashes
 
 #: Labelled documents to fit on, of which a part is kept for calibration.
@@ -118,10 +120,9 @@ def metadata(texts: list[str], fields: list[list]) -> tuple[np.ndarray, np.ndarr
     return np.array(owner, np.int64), np.array(feature, np.int64)
 
 
-def _features(batch: pd.DataFrame, a: int, b: int, fields: int):
-    texts = [t if isinstance(t, str) else "" for t in batch["_text"].array[a:b]]
-    values = [[None if pd.isna(v) else v for v in batch[f"_f{j}"].array[a:b]] for j in range(fields)]
-    return content(texts), metadata(texts, values)
+def _features(part: pa.RecordBatch, texts: list, fields: int):
+    texts = ["" if t is None else t for t in texts]
+    return content(texts), metadata(texts, [part.column(f"_f{j}").to_pylist() for j in range(fields)])
 
 
 #: Columns that tell copies of a text apart and put them in order.
@@ -129,14 +130,14 @@ _COPY = "key binary, id long, meta long, row long"
 
 
 def _stored(fields: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["_text"].array):
-                out = {c: batch[c].array[a:b] for c in ("key", "id", "meta", "row", "fold", *TARGETS)}
-                for view, (owner, feature) in zip(VIEWS, _features(batch, a, b, fields), strict=True):
-                    ends = np.searchsorted(owner, np.arange(b - a + 1))
-                    out[view] = [feature[s:e].astype(np.int32).tobytes() for s, e in zip(ends, ends[1:], strict=False)]
-                yield pd.DataFrame(out)
+            for part, texts in parts(batch):
+                out = {}
+                for view, (owner, feature) in zip(VIEWS, _features(part, texts, fields), strict=True):
+                    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+                    out[view] = pa.array([feature[s:e].astype(np.int32).tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield beside(part, ("_text", *[f"_f{j}" for j in range(fields)]), **out)
 
     return run
 
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("lang", "
         "_text", *features,
     )
     kind = f"{_COPY}, fold int, junk int, toxic int, content binary, metadata binary"
-    stored = store.keep(rows.mapInPandas(_stored(len(fields)), kind), "cotrain-features")
+    stored = store.keep(rows.mapInArrow(_stored(len(fields)), kind), "cotrain-features")
     # copies would make chance features look telling; a labelled one goes before others
     first = F.min(F.struct((F.col("fold") == 2).alias("unlabelled"), "id", "meta", "row"))
     copies = stored.df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"), F.max("junk").alias("_junk"), F.max("toxic").alias("_toxic"))
@@ -322,15 +323,14 @@ def fit(docs: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("lang", "
 
 
 def _apply(model: Classifier, fields: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["_text"].array):
-                seen = dict(zip(VIEWS, _features(batch, a, b, fields), strict=True))
-                out = batch.iloc[a:b].drop(columns=[f"_f{j}" for j in range(fields)])
+            for part, texts in parts(batch):
+                seen, n, out = dict(zip(VIEWS, _features(part, texts, fields), strict=True)), len(texts), {}
                 for target in TARGETS:
-                    scores = {v: model.models[target, v].scores(*seen[v], b - a) if (target, v) in model.models else np.zeros(b - a) for v in VIEWS}
-                    out[f"_p_{target}"] = model.probability(target, scores)
-                yield out
+                    scores = {v: model.models[target, v].scores(*seen[v], n) if (target, v) in model.models else np.zeros(n) for v in VIEWS}
+                    out[f"_p_{target}"] = pa.array(model.probability(target, scores), pa.float64())
+                yield beside(part, tuple(f"_f{j}" for j in range(fields)), **out)
 
     return run
 
@@ -356,7 +356,7 @@ def _scored_rows(docs: DataFrame, model: Classifier, fields, text_col, carry) ->
     carried = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry) if c != text_col]
     rows = docs.select(F.col(text_col).alias("_text"), *[F.col(f).cast("string").alias(f"_f{j}") for j, f in enumerate(fields)], *carried)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if not f.name.startswith("_f"))
-    out = rows.mapInPandas(_apply(model, len(fields)), f"{kind}, _p_junk double, _p_toxic double")
+    out = rows.mapInArrow(_apply(model, len(fields)), f"{kind}, _p_junk double, _p_toxic double")
     if text_col in carry:
         out = out.withColumnRenamed("_text", f"_c{carry.index(text_col)}")
     return out

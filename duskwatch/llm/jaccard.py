@@ -39,7 +39,7 @@ from duskwatch.llm.words import Sequence, inside, mix, signed, slices, word_hash
 TILE = 2048
 #: Members of a group up to which groups are compared many at a time, and bytes of bitmaps compared at a time.
 SMALL, COMPARED = 64, 32 << 20
-_SETS = "_id long, _hash long, n long, f1 long, f2 long, bits binary, tiles binary"
+_SETS = "_id string, _hash long, n long, f1 long, f2 long, bits binary, tiles binary"
 
 
 def bands(largest: int, num: int, den: int) -> np.ndarray:
@@ -316,7 +316,9 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
         self.n, self.num, self.den = n, num, den
         self.docs = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"))
-        self.rows = store.keep(self.docs.mapInPandas(_scan(n, num, den), _SETS), "jaccard-sets").df
+        # ids cross pandas as text: beside a null it would turn whole numbers into rounded doubles
+        read = self.docs.withColumn("_id", F.col("_id").cast("string")).mapInPandas(_scan(n, num, den), _SETS)
+        self.rows = store.keep(read.withColumn("_id", F.col("_id").cast("long")), "jaccard-sets").df
         self.classes = store.keep(
             self.rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("_id", "_hash")).alias("rep"), F.first("bits").alias("bits")),
             "jaccard-classes",
@@ -372,14 +374,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     groups = open_.select("tile", "i", "j", "f1", "n", "label", "block", "bits").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     rest = groups.mapInPandas(_apart(num, den), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(j.links(rest))
-    labels = store.keep(components(links), "jaccard-labels").df
+    labels = store.keep(components(links), "jaccard-labels").sized()
     rows = j.rows.select("_id", "_hash", "n", "f1").join(labels, F.col("f1") == F.col("node"), "left")
     rows = rows.select("_id", "_hash", "n", F.coalesce("label", "f1").alias("label"))
     full = rows.where("n > 0")
     last = F.lit((1 << 63) - 1)
     first = F.struct(F.coalesce("_id", last).alias("i"), "_hash")
-    least = full.groupBy("label").agg(F.min("_id").alias("component_id"), F.min(first).alias("_first"))
-    out = full.join(least, "label").select("_id", "_hash", "n", "component_id", (first == F.col("_first")).alias("first"))
+    # stored, so that the join with it may split a label that many rows have
+    least = full.groupBy("label").agg(F.min("_id").alias("_least"), F.min(first).alias("_first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = full.join(store.keep(least, "jaccard-least").sized(), "label", "left")
+    out = met.select("_id", "_hash", "n", F.coalesce("_least", "_id").alias("component_id"), F.coalesce(first == F.col("_first"), F.lit(True)).alias("first"))
     out = out.union(rows.where("n = 0").select("_id", "_hash", "n", F.col("_id"), F.lit(True)))
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", "_hash")
 

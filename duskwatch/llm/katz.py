@@ -325,7 +325,8 @@ def _stats(replies: DataFrame) -> np.ndarray:
 
 def katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on the documents whose crc32 of the id as text isn't divisible by ten, and score all."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    # ids cross pandas as text: beside a null it would turn whole numbers into rounded doubles
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), F.col(text_col).alias("_text"))
     buckets = max(16, 2 * store.splits(rows))
     parts = store.bucketed(rows.mapInPandas(_blocks(buckets), _PARTS), "katz", "block", buckets)
     words = store.keep(parts.where("bucket >= 0").groupBy("bucket").applyInPandas(_count(1, False, False), _REPLY), "katz-words", "uncompressed").df

@@ -25,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm import store
+from duskwatch.llm.arrow import parts
 from duskwatch.llm.packed import gather
 from duskwatch.llm.words import Sequence, inside, slices, word_hashes
 
@@ -320,20 +322,18 @@ def _match(finder: Finder):
             for a, b in slices(texts):
                 rows = [(batch["_id"].iat[a + t], finder.items[p], *v) for t, p, *v in finder(list(texts[a:b]))]
                 frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "longest_run"])
-                yield frame.astype({"doc_id": "Int64", "longest_run": "int64"})
+                yield frame.astype({"longest_run": "int64"})
 
     return run
 
 
 def _clean(finder: Finder):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["_text"].array
-            for a, b in slices(texts):
-                part = batch.iloc[a:b]
-                keep = np.ones(len(part), bool)
-                keep[[m[0] for m in finder(list(texts[a:b]))]] = False
-                yield part[keep]
+            for part, texts in parts(batch):
+                keep = np.ones(len(texts), bool)
+                keep[[m[0] for m in finder(texts)]] = False
+                yield part.filter(pa.array(keep))
 
     return run
 
@@ -357,16 +357,19 @@ def finders(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> It
             yield Finder(mine.sort_values(["item_id", "passage"]), idf, vectors)
 
 
-MATCHES = "doc_id long, item_id {}, cosine double, lcs_share double, answer_share double, longest_run long"
+MATCHES = "doc_id string, item_id string, cosine double, lcs_share double, answer_share double, longest_run long"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item that it gives away, with the figures that show it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    kind = MATCHES.format(benchmark.schema["item_id"].dataType.simpleString())
-    out = docs.sparkSession.createDataFrame([], kind)
+    # the numbers of both tables cross pandas as text: beside a null it would turn them into rounded doubles
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("_id"), F.col(text_col).alias("_text"))
+    item = benchmark.schema["item_id"].dataType
+    benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    out = docs.sparkSession.createDataFrame([], MATCHES)
     for finder in finders(docs, benchmark, text_col):
-        out = out.union(rows.mapInPandas(_match(finder), kind))
+        out = out.union(rows.mapInPandas(_match(finder), MATCHES))
+    out = out.withColumns({"doc_id": F.col("doc_id").cast("long"), "item_id": F.col("item_id").cast(item)})
     # an item of several passages is given once, with its best
     best = F.max(F.struct("cosine", "lcs_share", "answer_share", "longest_run"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
@@ -377,5 +380,5 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     names = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias("_text" if c == text_col else f"_c{i}") for i, c in enumerate(names)])
     for finder in finders(docs, benchmark, text_col):
-        rows = rows.mapInPandas(_clean(finder), rows.schema)
+        rows = rows.mapInArrow(_clean(finder), rows.schema)
     return rows.toDF(*names)

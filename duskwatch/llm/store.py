@@ -11,6 +11,15 @@ from duskwatch.session import shared_dir
 
 #: Stored bytes up to which a table may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch. A count of rows alone does not bound what a task holds of long texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session by bytes; a smaller bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 class Kept:
@@ -21,6 +30,7 @@ class Kept:
 
     def __init__(self, df: DataFrame, label: str, compression: str = "zstd"):
         self.spark = df.sparkSession
+        bounded_batches(self.spark)
         self.path = f"{shared_dir(self.spark)}/llm/{label}-{uuid.uuid4().hex}"
         df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -52,6 +62,7 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     Work by that column then needs no shuffle of the table.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/llm/{name}"
     df.write.bucketBy(buckets, column).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
@@ -70,4 +81,5 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

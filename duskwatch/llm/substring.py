@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm import store
+from duskwatch.llm.arrow import parts
 from duskwatch.llm.words import Sequence, inside, mix, signed, word_hashes
 
 #: Words of a minimizer, as a share of the window's; shorter ones give longer paths but repeat by chance.
 SHARE = 0.4
-#: Characters of the texts that a task works on at a time, and paths that it opens at a time.
-LIMIT, PATHS = 1 << 20, 4096
+#: Paths that a task opens at a time.
+PATHS = 4096
 _PATHS = "_id long, _hash long, m long, u long, at int, n int"
 _EDGES = "_id long, _hash long, m long, e long, at int"
 
@@ -77,18 +78,6 @@ def paths_of(texts: list, k: int):
     return owner, value[anchor[first]], seq.span(at, at + length + k - 1), at, length, seq, counts
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of about LIMIT characters, with their texts."""
-    lengths = pc.fill_null(pc.utf8_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
-    begin, size = 0, 0
-    for i, n in enumerate([*lengths.tolist(), LIMIT + 1]):
-        if i > begin and size + n > LIMIT:
-            part = batch.slice(begin, i - begin)
-            yield part, part.column("_text").to_pylist()
-            begin, size = i, 0
-        size += n
-
-
 def _rows(part: pa.RecordBatch, owner: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     """Keys of the texts that ``owner`` names, beside further columns. Ids stay in Arrow, which has nulls for whole numbers."""
     at = pa.array(owner, pa.int64())
@@ -99,7 +88,7 @@ def _rows(part: pa.RecordBatch, owner: np.ndarray, **columns: np.ndarray) -> pa.
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _texts(batch):
+            for part, texts in parts(batch):
                 owner, m, u, at, length, _, counts = paths_of(texts, k)
                 begin = np.cumsum(counts) - counts
                 yield _rows(part, owner, m=signed(m), u=signed(u), at=(at - begin[owner]).astype(np.int32), n=length.astype(np.int32))
@@ -112,7 +101,7 @@ def _open(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _texts(batch):
+            for part, texts in parts(batch):
                 owner, m, _, at, length, seq, counts = paths_of(texts, k)
                 begin = np.cumsum(counts) - counts
                 named = part.column("_open")
@@ -155,7 +144,7 @@ def _remove():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _texts(batch):
+            for part, texts in parts(batch):
                 out: list = [[], [], [], []]
                 for text, hits in zip(texts, part.column("_hits").to_pylist(), strict=True):
                     words = text.encode().split() if text is not None else []

@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 
 #: Bytes hashed in one go; bounds the memory of a task, not the length of a text.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Longer words, in bytes, are hashed by themselves with BLAKE2. A polynomial modulo 2^64 maps some words of equal length to one
 #: value whatever its base, from 1,024 letters on; none is used on so many.
 LONG_WORD = 1 << 8
@@ -133,7 +133,7 @@ def word_hashes(texts, lower: bool = False, seeds: tuple[int, ...] = (0,)):
     return counts, [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in out]
 
 
-def slices(texts, limit: int = 1 << 22):
+def slices(texts, limit: int = 1 << 20):
     """Ranges of consecutive texts of about ``limit`` characters, at least one text each."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
