@@ -181,9 +181,9 @@ def repeated(docs: DataFrame, k: int) -> DataFrame:
         met.df.where("NOT pure").select("_id", "_hash", "at").distinct().groupBy("_id", "_hash").agg(F.collect_list("at").alias("_open")), "debruijn-open"
     )
     edges = store.keep(_attach(docs, todo, "_open", "inner").mapInArrow(_open(k), _EDGES), "debruijn-edges")
-    # stored, so that the join with it may split an edge that many texts have
+    # stored, so that the join with it may split an edge that many texts have; it grows with the input and is never broadcast
     often = store.keep(edges.df.groupBy("m", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "e"), "debruijn-often")
-    single = edges.df.join(often.sized(), ["m", "e"], "left_semi").select("_id", "_hash", "at", F.lit(1).alias("n"))
+    single = edges.df.join(often.df.hint("merge"), ["m", "e"], "left_semi").select("_id", "_hash", "at", F.lit(1).alias("n"))
     return whole.union(single)
 
 
