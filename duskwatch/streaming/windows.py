@@ -5,6 +5,10 @@ its stretches. A stretch is as long as the window or longer; a failure belongs t
 a window of the next one, is context there. State holds each key's failures; a batch reads and
 extends the keys that it touches and no others, so its cost follows what arrives.
 
+Most keys have a failure or two, so what a key costs beyond its failures decides. A run that forgets nothing keeps its
+failures as a streaming aggregate, one list per key, and counts the lists of many keys in one call. Only state that is
+forgotten by time of arrival needs a processor, which asks for its keys one by one.
+
 There is no watermark. A failure that comes late, however far other sources have got, is put in its
 place in time, and the later failures within one window of it are reported again with their new
 counts, under the same identity. A run that goes on bounds its state by time of arrival instead: a failure is forgotten
@@ -18,8 +22,10 @@ import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
@@ -82,6 +88,65 @@ def attempts(rows: list[tuple], window: int, order: int) -> list[int]:
     return counts
 
 
+def _list_counts(window: int):
+    """Number in its batch, count before the last batch and count now of each failure of a key, for the lists of many keys.
+
+    Lists are in order of arrival; ``places`` is their order in time, ``now`` the time of the last batch.
+    """
+
+    def run(at: pa.Array, arrived: pa.Array, places: pa.Array, now: pa.Array) -> pa.Array:
+        edges = at.offsets.to_numpy()
+        # lists of a slice need not begin at the first value
+        times, came, order = (x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in (at, arrived, places))
+        edges = edges - edges[0]
+        sizes = np.diff(edges)
+        new = came == np.repeat(now.to_numpy(), sizes)
+        number, last, count = np.zeros(len(times), np.int64), np.ones(len(times), np.int64), np.ones(len(times), np.int64)
+
+        def ending(of: np.ndarray) -> np.ndarray:
+            return np.arange(1, len(of) + 1) - np.searchsorted(of, of - window, "right")
+
+        for key in np.flatnonzero(sizes > 1).tolist():
+            span = slice(edges[key], edges[key + 1])
+            place = order[span]
+            number[span] = np.arange(sizes[key]) - np.searchsorted(came[span], came[span])
+            count[span][place] = ending(times[span][place])
+            old = place[~new[span][place]]
+            last[span][old] = ending(times[span][old])
+        counted = pa.StructArray.from_arrays([pa.array(number), pa.array(last, mask=new), pa.array(count)], ["number", "before", "attempts"])
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), counted)
+
+    return run
+
+
+def _counted_lists(dealt: DataFrame, key: str, order: list[str], payload: list[str], window: int) -> DataFrame:
+    """Failures of the keys that a batch touches whose count is new or has changed; state is one list per key."""
+    # the time of a micro-batch stays the same when it runs again
+    now = F.unix_micros(F.current_timestamp()).alias("_now")
+    # equal failures can take each other's place, so numbers that follow from the content name the same failures in every batch
+    tie = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *payload))).alias("tie")
+    row = F.struct(F.col("_now").alias("arrived"), F.struct("_at", *order, tie).alias("at"), F.struct("_own", *payload).alias("row"))
+    listed = dealt.select("*", now).groupBy(key, "stretch").agg(F.collect_list(row).alias("_all"))
+
+    def places(rows: str, *by: str) -> Column:
+        """Positions of a list's rows in order; what a row carries need not have an order."""
+        placed = F.transform(rows, lambda x, i: F.struct(*(x[c] for c in by), i.alias("i")))
+        return F.transform(F.array_sort(placed), lambda x: x["i"])
+
+    arrival = listed.withColumn("_places", places("_all", "arrived", "at"))
+    rows = arrival.select(key, "stretch", F.transform("_places", lambda i: F.get("_all", i)).alias("_rows"), now)
+    counts = F.arrow_udf(_list_counts(window), "array<struct<number: bigint, before: bigint, attempts: bigint>>")
+    at, arrived = F.transform("_rows", lambda x: x["at"]["_at"]), F.transform("_rows", lambda x: x["arrived"])
+    counted = rows.withColumn("_counts", counts(at, arrived, places("_rows", "at", "arrived"), "_now"))
+    # outer, as an inner explode would be turned into a filter that counts once more
+    single = counted.select(key, "stretch", F.inline_outer(F.arrays_zip("_rows", "_counts")))
+    changed = single.where(F.col("_rows.row._own") & ~F.col("_counts.before").eqNullSafe(F.col("_counts.attempts")))
+    return changed.select(
+        key, "stretch", "_rows.arrived", "_rows.at._at", *(f"_rows.at.{c}" for c in order), *(f"_rows.row.{c}" for c in payload),
+        "_counts.number", "_counts.before", "_counts.attempts",
+    )
+
+
 def live_counts(
     failures: DataFrame,
     order: list[str] | tuple[str, ...] = (),
@@ -113,11 +178,13 @@ def live_counts(
     dealt = dealt.select(
         key, "stretch", "_at", "_own", *order, *(F.when(F.col("_own"), F.col(c)).alias(c) for c in payload)
     )
+    back = [F.timestamp_micros(c).alias(c) if c in stamps else F.col(c) for c in failures.columns]
+    if not keep:
+        return _counted_lists(dealt, key, order, payload, window).select(*back, *IDENTITY, "before", "attempts")
     identity = [StructField(c, LongType()) for c in IDENTITY]
     schema = StructType([StructField(f.name, f.dataType) for f in dealt.schema.fields[2:]] + identity)
     out = StructType([StructField(key, failures.schema[key].dataType), *schema.fields, StructField("before", LongType()), StructField("attempts", LongType())])
     counted = dealt.groupBy(key, "stretch").transformWithState(
-        FailureWindows(window, schema, len(order), keep, key), out, "Update", "ProcessingTime" if keep else "None"
+        FailureWindows(window, schema, len(order), keep, key), out, "Update", "ProcessingTime"
     )
-    back = [F.timestamp_micros(c).alias(c) if c in stamps else F.col(c) for c in failures.columns]
     return counted.select(*back, *IDENTITY, "before", "attempts")

@@ -249,3 +249,36 @@ def test_a_burst_cut_by_a_batch_border_is_counted_whole(spark, pack, tmp_path):
     found = alert_set(run_live(spark, pack, tmp_path, [burst[:2], burst[2:]], config).read("alerts"))
     assert [kind for _, kind, _ in found].count("BRUTE_FORCE") == 2
     assert sorted(kind for _, kind, _ in found) == sorted(kind for _, kind, _ in batch_alerts(spark, pack, burst, config))
+
+
+def test_stream_counts_equal_a_count_one_by_one_however_rows_are_dealt(spark, tmp_path):
+    rng = random.Random(5)
+    schema = "source_ip string, event_ts timestamp, seq bigint, tags map<string,string>"
+    rows = [(rng.choice(["a", "a", "b", None]), START + timedelta(seconds=rng.randrange(200)), rng.choice([None, 1, 2]), {"n": str(i % 3)}) for i in range(150)]
+    parts = [rows[:50], rows[50:100], rows[100:]]
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = {}
+
+    def take(batch, batch_id):
+        got = batch.collect()
+        for r in got:
+            at = (r.source_ip, r.stretch, r.arrived, r.number)
+            # a count is told once, and again with the one it had when it changes
+            assert r.before == (found[at].attempts if at in found else None) and r.before != r.attempts
+            found[at] = r
+        assert len({(r.source_ip, r.stretch, r.arrived, r.number) for r in got}) == len(got)
+
+    query = windows.live_counts(lines, ["seq"], 10).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(query.recentProgress) == 3
+    # state is read for many keys at once, by no processor that asks for them one by one
+    assert {s.operatorName for p in query.recentProgress for s in p.stateOperators} == {"stateStoreSave"}
+    key = lambda r: (str(r[0]), r[1], r[2] or 0, sorted(r[3].items()))
+    assert sorted(map(key, rows)) == sorted(key((r.source_ip, r.event_ts, r.seq, r.tags)) for r in found.values())
+    for source in ("a", "b", None):
+        times = sorted((r[1], r[2] or 0) for r in rows if r[0] == source)
+        want = [n + 1 - sum(t <= at - timedelta(seconds=10) for t, _ in times) for n, (at, _) in enumerate(times)]
+        got = sorted((r.event_ts, r.seq or 0, r.attempts) for r in found.values() if r.source_ip == source)
+        assert got == [(*t, n) for t, n in sorted(zip(times, want, strict=True))]
