@@ -30,22 +30,33 @@ class DetectConfig:
 
 def parsed_lines(lines: DataFrame, config: DetectConfig, line: str = "line") -> DataFrame:
     """Lines with address, event time, failed-login and allow-list flags; blank lines vanish."""
-    present = lines.where(F.length(text.strip(F.col(line))) > 0)
-    if "raw_log" not in present.columns:
-        present = present.withColumn("raw_log", F.col(line))
+    if "raw_log" not in lines.columns:
+        lines = lines.withColumn("raw_log", F.col(line))
+    marks = F.struct(
+        text.is_present(F.col(line)).alias("_present"),
+        text.is_failed_login(F.col("raw_log")).alias("_failed"),
+    )
+    # told apart first, so that whoever wants failed logins only has no other line parsed
+    present = _with_fields(lines, marks).where("_present").drop("_present")
     at = text.event_time(F.col(line), F.col("ingest_ts"))
     if "event_ts" in present.columns:  # a source that knows the time need not say it in the line
         present = present.withColumnRenamed("event_ts", "_given_ts")
         at = F.coalesce("_given_ts", at)
-    fields = F.struct(
-        text.source_ip(F.col(line)).alias("source_ip"),
-        at.alias("event_ts"),
-        text.is_failed_login(F.col("raw_log")).alias("_failed"),
-    )
-    # as output of a generator the fields are computed once per line; filters on
-    # plain columns would be pushed below and search the line once more
-    parsed = present.select("*", F.inline_outer(F.array(fields))).drop("_given_ts")
-    return parsed.withColumn("_allowed", is_allowed(F.col("source_ip"), config.allowed, config.allow_mode))
+    parsed = _with_fields(present, F.struct(text.source_ip(F.col(line)).alias("source_ip"), at.alias("event_ts")))
+    kept = [c for c in present.columns if c not in ("_given_ts", "_failed")]
+    allowed = is_allowed(F.col("source_ip"), config.allowed, config.allow_mode)
+    return parsed.select(*kept, "source_ip", "event_ts", "_failed").withColumn("_allowed", allowed)
+
+
+def _with_fields(df: DataFrame, fields: Column) -> DataFrame:
+    """Add the fields of a struct, computed once per row.
+
+    A projection shares the steps that several fields have in common, which a
+    generator does not; filters on what a generator gives are not pushed below
+    it, where they would compute the fields once more.
+    """
+    computed = df.select("*", fields.alias("_fields"))
+    return computed.select(*df.columns, F.inline_outer(F.array("_fields")))
 
 
 def detect(

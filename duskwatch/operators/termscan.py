@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 from re import _parser as regex_parser
 
-_FANOUT = 8
+# siblings tried one after the other, and characters that a guard looks at
+_FANOUT, _GUARDED = 2, 4
 # what gives a piece of a pattern a meaning beyond its characters
 _ESCAPED = re.compile(r"\\([^\w\s])")
 _SPECIAL = re.compile(r"[\\^$.|?*+()\[\]{}]")
@@ -49,15 +50,22 @@ def _branches(node: dict) -> str:
 
 
 def _choices(node: dict, chars: list[str]) -> list[str]:
-    # many siblings are put behind character-class guards, so that a position
-    # rules out whole groups of them at once
+    # siblings are halved behind guards on the next characters, so that a position
+    # where no term starts is given up after a few classes instead of all siblings
     if len(chars) <= _FANOUT:
         return [_quote(c) + _branches(node[c]) for c in chars]
-    size = max(_FANOUT, round(len(chars) ** 0.5))
-    groups = [chars[i : i + size] for i in range(0, len(chars), size)]
-    return [
-        f"(?=[{''.join(map(_quote, g))}])(?:{'|'.join(_choices(node, g))})" for g in groups
-    ]
+    middle = len(chars) // 2
+    return [f"{_guard(node, g)}(?:{'|'.join(_choices(node, g))})" for g in (chars[:middle], chars[middle:])]
+
+
+def _guard(node: dict, chars: list[str]) -> str:
+    """Look-ahead for the characters with which the terms below ``chars`` go on, as far as all of them do."""
+    classes = [chars]
+    below = [node[c] for c in chars]
+    while len(classes) < _GUARDED and not any("" in n for n in below):
+        classes.append(sorted({c for n in below for c in n}))
+        below = [n[c] for n in below for c in n]
+    return "(?=" + "".join(f"[{''.join(map(_quote, c))}]" for c in classes) + ")"
 
 
 def _quote(char: str) -> str:

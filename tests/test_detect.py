@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.operators import allowlist, bruteforce, running
-from duskwatch.operators.detect import DetectConfig, detect, with_reputation
+from duskwatch.operators.detect import DetectConfig, detect, is_counted, parsed_lines, with_reputation
 
 FAIL = "sshd: Failed password for root from {} port 22"
 
@@ -156,3 +156,19 @@ def test_a_given_event_time_is_used(spark, pack):
     df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("ingest_ts", "event_ts")})
     found = detect(df, pack, DetectConfig(max_failed_logins=3, failed_login_window=60))
     assert found.where("event_type = 'BRUTE_FORCE'").count() == 0
+
+
+def test_lines_are_parsed_once_and_only_if_wanted(spark):
+    rows = [(0, FAIL.format("10.0.0.1")), (1, "nothing"), (2, " \u2003\t"), (3, FAIL.format("10.0.0.2"))]
+    parsed = parsed_lines(log(spark, rows), DetectConfig(allowed=["10.0.0.2"]))
+    got = {r.line_id: (r.source_ip, r._failed, r._allowed) for r in parsed.collect()}
+    assert got == {0: ("10.0.0.1", True, False), 1: ("UNKNOWN", False, False), 3: ("10.0.0.2", True, True)}
+    counted = parsed.where(is_counted())
+    assert [r.line_id for r in counted.collect()] == [0]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # fields come of projections, whose common steps are shared
+    assert not [x for x in plan if "Generate" in x and ("regexp_extract" in x or "lower(" in x)]
+    # lines that are no failed login are gone, further down in the plan, before any is parsed
+    address = next(i for i, x in enumerate(plan) if "regexp_extract" in x)
+    told = next(i for i, x in enumerate(plan) if "Filter" in x and "_failed" in x)
+    assert address < told

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from duskwatch.functions import text
 from duskwatch.operators import rules, termscan
 from duskwatch.sources.rulepack import REGEX_HINT, rules_from_text, scan_rules
 
@@ -160,3 +161,23 @@ def test_builtin_pack(spark, pack):
     scanned = scan_rules(spark)
     assert scanned.where("status <> 'loaded'").count() == 0
     assert scanned.where(F.size("mitre_techniques") == 0).count() == 0
+
+
+def test_tree_pattern_finds_the_longest_term_and_gives_up_early():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(3)
+    terms = sorted({"".join(rng.choices(letters, k=rng.choice([1, 2, 3, 6]))) for _ in range(60)} | {"$(x", "a.b", "[]", "zz", "zzz"})
+    pattern = re.compile(termscan.tree_pattern(terms))
+    for _ in range(300):
+        line = "".join(rng.choices(letters + "$(.[] ", k=40)) + rng.choice(terms)
+        want = [max(t for t in terms if line.startswith(t, i)) for i in range(len(line)) if any(line.startswith(t, i) for t in terms)]
+        assert [m.group(1) for m in pattern.finditer(line)] == want
+    # terms of common first letters are ruled out by the letters after them
+    pairs = termscan.tree_pattern([c + "qx" for c in letters])
+    assert "][q][x])" in pairs
+
+
+def test_present_text_is_what_stripping_leaves(spark):
+    lines = ["", " ", "\t\u2003\x1f\u3000", "a", "  b ", "\x00", "\u200b", None]
+    rows = lines_df(spark, lines).select(text.is_present(F.col("line")).alias("a"), (F.length(text.strip(F.col("line"))) > 0).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] == [False, False, False, True, True, True, True, None]
