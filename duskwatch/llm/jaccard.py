@@ -318,15 +318,20 @@ class _Join:
         self.docs = docs.select(*store.row_key(id_col, text_col), F.col(text_col).alias("_text"))
         # ids cross pandas as text: beside a null it would turn whole numbers into rounded doubles
         read = self.docs.withColumn("_id", F.col("_id").cast("string")).mapInPandas(_scan(n, num, den), _SETS)
-        self.rows = store.keep(read.withColumn("_id", F.col("_id").cast("long")), "jaccard-sets").df
-        self.classes = store.keep(
-            self.rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("_id", "_hash")).alias("rep"), F.first("bits").alias("bits")),
-            "jaccard-classes",
-        ).df
-
-    def tiles(self) -> DataFrame:
+        sets = store.keep(read.withColumn("_id", F.col("_id").cast("long")), "jaccard-sets")
+        full = sets.df.where("n > 0")
+        reps = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("_id", "_hash")).alias("rep"), F.first("bits").alias("bits"))
+        self.kept_classes = store.keep(reps, "jaccard-classes")
+        self.kept_tiles = store.keep(self._tiles(full), "jaccard-tiles")
+        # bitmaps and tiles, most of what a set holds, are not needed beside each row any more
+        self.kept_rows = store.keep(sets.df.select("_id", "_hash", "n", "f1"), "jaccard-ids")
+        self.classes, self.tiles, self.rows = (k.df for k in (self.kept_classes, self.kept_tiles, self.kept_rows))
+        sets.drop()
+
+    @staticmethod
+    def _tiles(sets: DataFrame) -> DataFrame:
         """``tile, f1`` of all tiles with at least two different sets."""
-        parts = self.rows.where("n > 0").select("f1", "tiles").mapInPandas(_unpack, "tile long, f1 long, rest boolean")
+        parts = sets.select("f1", "tiles").mapInPandas(_unpack, "tile long, f1 long, rest boolean")
         first = parts.where("NOT rest").select("tile", "f1").repartition("tile").sortWithinPartitions("tile", "f1")
         return first.mapInPandas(_live, "tile long, f1 long").union(parts.where("rest").select("tile", "f1")).distinct()
 
@@ -352,29 +357,39 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
 
     ``first`` marks the row that stands for its component; ``_hash``, a hash of the text, tells rows of equal id apart.
     """
+    return _joined(docs, n, num, den, id_col, text_col)[0]
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, list[store.Kept]]:
+    """What ``join`` returns, and the stored tables that it reads."""
     j = _Join(docs, n, num, den, id_col, text_col)
-    tiles = store.keep(j.tiles(), "jaccard-tiles").df
+    tiles = j.tiles
     # the most central member of a tile shares the most with others
     weight = tiles.join(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("w")), "tile").groupBy("f1").agg(F.sum("w").alias("w"))
     weighed = tiles.join(weight, "f1")
     heads = weighed.groupBy("tile").agg(F.max(F.struct("w", "f1"))["f1"].alias("head"))
     stars = tiles.join(heads, "tile").where("head <> f1")
-    stars = stars.select(F.least("head", "f1").alias("a"), F.greatest("head", "f1").alias("b")).distinct()
-    links = j.links(stars)
+    # stored, as they are asked for again once the first links are known
+    stars = store.keep(stars.select(F.least("head", "f1").alias("a"), F.greatest("head", "f1").alias("b")).distinct(), "jaccard-stars")
+    links = j.links(stars.df)
     labels = components(links)
     # members of a tile that are still apart meet pairwise
     named = tiles.join(labels, tiles["f1"] == labels["node"], "left").select("tile", "f1", F.coalesce("label", "f1").alias("label"))
     apart = named.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("tile")
-    open_ = named.join(apart, "tile", "left_semi")
+    kept_open = store.keep(named.join(apart, "tile", "left_semi"), "jaccard-open")
+    open_ = kept_open.df
     # large tiles are cut into blocks, and every two blocks meet in a group of their own
     blocks = open_.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     open_ = open_.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumns({"i": F.least("block", "x"), "j": F.greatest("block", "x")}).join(j.classes.select("f1", "n", "bits"), "f1")
     groups = open_.select("tile", "i", "j", "f1", "n", "label", "block", "bits").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    rest = groups.mapInPandas(_apart(num, den), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = groups.mapInPandas(_apart(num, den), "a long, b long").distinct().join(stars.df, ["a", "b"], "left_anti")
     links = links.union(j.links(rest))
-    labels = store.keep(components(links), "jaccard-labels").sized()
+    kept_labels = store.keep(components(links), "jaccard-labels")
+    for old in (stars, kept_open, j.kept_classes, j.kept_tiles):
+        old.drop()
+    labels = kept_labels.sized()
     rows = j.rows.select("_id", "_hash", "n", "f1").join(labels, F.col("f1") == F.col("node"), "left")
     rows = rows.select("_id", "_hash", "n", F.coalesce("label", "f1").alias("label"))
     full = rows.where("n > 0")
@@ -382,10 +397,12 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     first = F.struct(F.coalesce("_id", last).alias("i"), "_hash")
     # stored, so that the join with it may split a label that many rows have
     least = full.groupBy("label").agg(F.min("_id").alias("_least"), F.min(first).alias("_first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    met = full.join(store.keep(least, "jaccard-least").sized(), "label", "left")
+    kept_least = store.keep(least, "jaccard-least")
+    met = full.join(kept_least.sized(), "label", "left")
     out = met.select("_id", "_hash", "n", F.coalesce("_least", "_id").alias("component_id"), F.coalesce(first == F.col("_first"), F.lit(True)).alias("first"))
     out = out.union(rows.where("n = 0").select("_id", "_hash", "n", F.col("_id"), F.lit(True)))
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", "_hash")
+    out = out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", "_hash")
+    return out, [j.kept_rows, kept_labels, kept_least]
 
 
 def distinct_rows(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,11 +413,16 @@ def distinct_rows(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_c
     names = docs.columns
     rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     id_at, text_at = (f"_c{names.index(c)}" for c in (id_col, text_col))
-    found = store.keep(join(docs, n, num, den, id_col, text_col), "jaccard-rows").df
+    joined, read = _joined(docs, n, num, den, id_col, text_col)
+    kept = store.keep(joined, "jaccard-rows")
+    for old in read:
+        old.drop()
+    found = kept.df
     key = ["_id", "_hash"]
     found = found.withColumnRenamed("doc_id", "_id")
     out = store.keep(found.where("NOT first").select(*key).distinct(), "jaccard-out")
     twice = store.keep(found.where("first AND n_shingles > 0").groupBy(*key).count().where("count > 1").select(*key), "jaccard-twice")
+    kept.drop()
     keyed = rows.select("*", *store.row_key(id_at, text_at))
 
     def met(how: str, frame: DataFrame, side: store.Kept) -> DataFrame:

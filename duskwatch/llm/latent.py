@@ -155,9 +155,13 @@ def space(entries: DataFrame, rank: int = RANK) -> np.ndarray:
     root = vectors[:, good] / np.sqrt(values[good])
     rows = sketch.toPandas()  # at most SPACE rows of the sketch's width
     basis = np.zeros((SPACE, root.shape[1]), np.float32)
-    basis[rows["feature"].to_numpy()] = rows.drop(columns="feature").to_numpy() @ root
+    features = rows["feature"].to_numpy()
+    basis[features] = rows.drop(columns="feature").to_numpy() @ root
+    # tasks get the rows of the features there are, not the whole hashed space
+    features = np.sort(features)
+    held = basis[features]
     # rotate to singular vectors and cut to the rank
-    coded = _product(entries, "row", basis.shape[1], lambda b: basis[b["feature"].to_numpy()], "long")
+    coded = _product(entries, "row", basis.shape[1], lambda b: held[np.searchsorted(features, b["feature"].to_numpy())], "long")
     _, turn = np.linalg.eigh(_gram(coded, "row", basis.shape[1]))
     return basis @ turn[:, ::-1][:, :rank].astype(np.float32)
 
@@ -192,9 +196,11 @@ class Finder:
     def __init__(self, passages: pd.DataFrame, idf: np.ndarray, vectors: np.ndarray):
         self.items = passages["item_id"].tolist()
         self.words = [np.frombuffer(w, np.uint64) for w in passages["words"]]
-        self.idf, self.vectors = idf.astype(np.float32), vectors
+        self.idf = idf.astype(np.float32)
         self.known = np.abs(vectors).max(1) > 0
-        coded = np.stack([(self.vectors[_number(w)] * self.idf[_number(w)][:, None]).sum(0) for w in self.words])
+        # a finder travels with its tasks, so of the hashed space it holds the known rows only
+        self.place, self.vectors = np.cumsum(self.known, dtype=np.int32) - 1, vectors[self.known]
+        coded = np.stack([(vectors[_number(w)] * self.idf[_number(w)][:, None]).sum(0) for w in self.words])
         self.coded = coded / np.maximum(np.linalg.norm(coded, axis=1), 1e-12)[:, None]
         self.answers = []
         for w in self.words:
@@ -206,6 +212,15 @@ class Finder:
         self._index_exact()
         self.answer_words, self.answer_of = word[order], np.repeat(np.arange(len(self.answers)), [len(a) for a in self.answers])[order]
 
+    def __getstate__(self) -> dict:
+        # marks travel as their positions
+        return {**self.__dict__, "begins": np.flatnonzero(self.begins).astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.begins = np.zeros(1 << MARKS, bool)
+        self.begins[state["begins"]] = True
+
     def _index_exact(self) -> None:
         """Hashes of whole short passages and of runs of RUN words, by length, and marks of the words they begin with."""
         self.begins = np.zeros(1 << MARKS, bool)
@@ -275,7 +290,7 @@ class Finder:
         for a in range(0, len(use), 1 << 16):
             mine = use[a : a + (1 << 16)]
             starts = np.flatnonzero(np.concatenate(([True], half[mine][1:] != half[mine][:-1])))
-            held[row[half[mine][starts]]] += np.add.reduceat(self.vectors[number[mine]] * self.idf[number[mine]][:, None], starts, axis=0)
+            held[row[half[mine][starts]]] += np.add.reduceat(self.vectors[self.place[number[mine]]] * self.idf[number[mine]][:, None], starts, axis=0)
         after = np.minimum(wanted + 1, len(owner_half) - 1)
         own = (after > wanted) & (owner_half[after] == owner_half[wanted])
         return held[row[wanted]] + np.where(own[:, None], held[row[after]], 0)
