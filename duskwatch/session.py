@@ -44,16 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, so a lost executor never recomputes what came before, and fixes
     values that a re-run could assign differently (such as partition numbers).
+    ``reader`` is the session that reads it, by default that of ``df``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -110,17 +112,19 @@ class LiveDetector:
             F.count_if(new & F.col("event_type").isNotNull()).alias("alerts"),
             F.count_if("amends").alias("amended"),
         )
-        settled = stage(settled, "live-settled")
+        # read back by the run's own session: that of a micro-batch has adaptive execution off, without which rows are not
+        # dealt by day and every task writes a file for every day
+        settled = stage(settled, "live-settled", self.spark)
         done = watch.get
         writes = self.writes(settled)
         # a channel that fails does not keep the others from their rows, but no reader sees any before all are there;
         # the error then fails the batch, which is safe to run again
-        errors = []
-        for table, rows in writes.items():
-            try:
-                self.store.write(table, rows, name, batch_id)
-            except Exception as exc:
-                errors.append(exc)
+        # tables are written side by side: most of a write is the commit of one folder per day, which the driver does one by one
+        with ThreadPoolExecutor(len(writes)) as pool:
+            # each thread with properties of its own, as writes put their numbers into them
+            own = lambda: inheritable_thread_target(self.spark)(self.store.write)
+            written = [pool.submit(own(), table, rows, name, batch_id) for table, rows in writes.items()]
+        errors = [w.exception() for w in written if w.exception()]
         if errors:
             raise errors[0]
         amended = [t for t, rows in writes.items() if done["amended"] and "amends" in rows.columns]
